@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import vector_queries
+
+_MODULES = (vector_queries,)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
