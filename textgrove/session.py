@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,13 @@ def drop(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let the Python workers of this session import this package from where the driver has it."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (held, root) if p)
+    return spark
