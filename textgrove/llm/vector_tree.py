@@ -213,20 +213,22 @@ class VectorIndex:
                 ids, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 for h, n in zip(*np.unique(home, return_counts=True), strict=True):
                     count[int(h)] = count.get(int(h), 0) + int(n)
-                x = unit(_unpack(batch.column(2).to_pylist(), width))
-                sims = q @ x.T
+                packed = batch.column(2).to_pylist()
+                sims = q @ unit(_unpack(packed, width)).T
                 sims[qv[:, None] == ids[None, :]] = -2
                 rank = np.where(sims >= floor, -sign * sims, np.float32(9))
                 top = np.argpartition(rank, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
                 s = np.take_along_axis(sims, top, axis=1)
                 r, c = np.nonzero(s >= floor)
-                best.append((r.astype(np.int32), home[top[r, c]], ids[top[r, c]], s[r, c], np.ones(len(r), np.int64)))
+                hit = top[r, c]
+                best.append((r.astype(np.int32), home[hit], ids[hit], s[r, c], np.ones(len(r), np.int64), [packed[i] for i in hit.tolist()]))
             leaves, n = np.fromiter(count, np.int32, len(count)), np.fromiter(count.values(), np.int64, len(count))
-            sizes = (np.full(len(count), -1, np.int32), leaves, leaves.astype(np.int64), np.zeros(len(count), np.float32), n)
-            cols = [np.concatenate(c) for c in zip(*best, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "home", "vid", "s", "n"])
+            sizes = (np.full(len(count), -1, np.int32), leaves, leaves.astype(np.int64), np.zeros(len(count), np.float32), n, [b""] * len(count))
+            parts = list(zip(*best, sizes, strict=True))
+            cols = [pa.array(np.concatenate(c)) for c in parts[:5]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([v for c in parts[5] for v in c], pa.binary())], names=["q", "home", "vid", "s", "n", "vec"])
 
-        hits = self.table.mapInArrow(scan, "q int, home int, vid bigint, s float, n bigint").groupBy("q", "home", "vid").agg(F.max("s").alias("s"), F.sum("n").alias("n"))
+        hits = self.table.mapInArrow(scan, "q int, home int, vid bigint, s float, n bigint, vec binary").groupBy("q", "home", "vid").agg(F.max("s").alias("s"), F.sum("n").alias("n"), F.max("vec").alias("vec"))
         best = Window.partitionBy("q", F.when(F.col("q") < 0, F.col("home"))).orderBy(-sign * F.col("s"), "vid")
         raw = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).toArrow()  # at most probes x k rows, and one per leaf
         q, home, ids, s, n = (raw[c].to_numpy() for c in ("q", "home", "vid", "s", "n"))
@@ -234,14 +236,18 @@ class VectorIndex:
         np.add.at(members, home[q < 0], n[q < 0])
         cell_members = np.add.reduceat(members, self.tree.first[:-1])
         self.shares = {int(c): int(-(-m // cfg.share)) for c, m in enumerate(cell_members) if m > cfg.share}
-        q, home = q[q >= 0], home[q >= 0]
+        some = q >= 0
+        other = unit(_unpack([v for v, k in zip(raw["vec"].to_pylist(), some, strict=True) if k], width)) if some.any() else queries[:0]
+        q, home = q[some], home[some]
+        own = home_leaf(self.tree, queries)
         visits, most = 1, len(self.tree.leaves)
         while True:
             if not len(q):
                 self.visits, self.recall = min(4, most), 1.0
                 return
-            seen = leaf_order(self.tree, queries, visits)
-            self.recall = float((seen[q] == home[:, None]).any(1).mean())
+            # a pair is met if either visits the other's leaf
+            there, back = leaf_order(self.tree, queries, visits)[q] == home[:, None], leaf_order(self.tree, other, visits) == own[q][:, None]
+            self.recall = float((there.any(1) | back.any(1)).mean())
             if self.recall >= cfg.target or visits >= most:
                 self.visits = visits
                 return
@@ -334,28 +340,34 @@ def by_leaf(home: np.ndarray, query: np.ndarray, leaf: np.ndarray) -> Iterator[t
             yield m, query[order[np.searchsorted(sorted_leaf, value) : np.searchsorted(sorted_leaf, value, side="right")]]
 
 
+def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best cols of each row at or above the floor, as pairs."""
+    some = np.flatnonzero((sims >= floor - 1e-5).any(1)) if sims.size else np.zeros(0, np.int64)
+    sims, rows = sims[some], rows[some]
+    top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if len(cols) > k else np.broadcast_to(np.arange(len(cols)), sims.shape)
+    r, c = np.nonzero(np.take_along_axis(sims, top, axis=1) >= floor - 1e-5)
+    return rows[r], cols[top[r, c]]
+
+
 def _top(x: np.ndarray, vid: np.ndarray, home: np.ndarray, query: np.ndarray, leaf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
-    """The k best neighbours at or above the floor that each row has among the members of the leaves that it visits here."""
-    got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    """The k best neighbours at or above the floor that each row has here, among the members of its leaves and the visitors of its home."""
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for m, v in by_leaf(home, query, leaf):
         for a in range(0, len(v), 2_048):
             rows = v[a : a + 2_048]
             sims = x[rows] @ x[m].T
             sims[rows[:, None] == m[None, :]] = -2
-            some = np.flatnonzero(sims.max(1) >= floor - 1e-5)
-            if not len(some):
-                continue
-            sims, rows = sims[some], rows[some]
-            top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if len(m) > k else np.broadcast_to(np.arange(len(m)), sims.shape)
-            s = np.take_along_axis(sims, top, axis=1)
-            r, c = np.nonzero(s >= floor - 1e-5)
-            got.append((rows[r], m[top[r, c]], s[r, c]))
-    a, b, _ = (np.concatenate(c) for c in zip(*got, strict=True))
+            got.append(_best(sims, rows, m, k, floor))
+            guest = home[rows] != home[m[0]]
+            got.append(_best(sims[guest].T, m, rows[guest], k, floor))  # what a member sees of its visitors
+    a, b = (np.concatenate(c) for c in zip(*got, strict=True))
     exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65_536]], x[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536)] or [np.zeros(0)])
     keep = exact >= floor
     a, b, exact = a[keep], b[keep], exact[keep]
     order = np.lexsort((vid[b], -exact, a))
     a, b, exact = a[order], b[order], exact[order]
+    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    a, b, exact = a[fresh], b[fresh], exact[fresh]
     near = np.arange(len(a)) - np.searchsorted(a, a) < k
     return vid[a[near]], vid[b[near]], exact[near]
 
