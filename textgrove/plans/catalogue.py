@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals
+from . import intervals, reference
 
-_MODULES = (intervals,)
+_MODULES = (reference, intervals)
 
 
 def queries() -> dict:
