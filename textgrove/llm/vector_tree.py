@@ -29,7 +29,8 @@ from ..session import cut, drop
 class TreeConfig:
     """sample: most vectors the tree is fitted on. leaf: members aimed at per leaf. leaves: most leaves (sample allowing).
     target: recall to be reached by the calibration. probes: sampled queries of the calibration. share: most members of
-    a cell that one task takes. gain: the quantile that stands for the usual gain of a cell's leaves on its centre.
+    a cell that one task takes. trees: independent trees, which all are visited: pairs that one parts another may not.
+    spare: by what factor the visits exceed those that reach the target on the sampled queries. gain: the quantile that stands for the usual gain of a cell's leaves on its centre.
     per_cell: leaves per cell. seed: of the sample and the fit."""
 
     sample: int = 65_536
@@ -40,6 +41,8 @@ class TreeConfig:
     share: int = 50_000
     gain: float = 0.9
     per_cell: int = 20
+    trees: int = 1
+    spare: float = 1.0
     seed: int = 7
 
 
@@ -74,9 +77,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
     return c, (x @ c.T).argmax(1)
 
 
-def fit_tree(x: np.ndarray, n: int, cfg: TreeConfig) -> Tree:
+def fit_tree(x: np.ndarray, n: int, cfg: TreeConfig, which: int = 0) -> Tree:
     """x: unit vectors of the sample; n: vectors in all. Dense regions get leaves in proportion to their part of the sample."""
-    rng = np.random.default_rng(cfg.seed)
+    rng = np.random.default_rng(cfg.seed + which)
     leaves = max(1, min(cfg.leaves, math.ceil(n / cfg.leaf), len(x) // 8 or 1))
     cells, at = _kmeans(x, max(1, round(leaves / cfg.per_cell)), rng)
     parts = [_kmeans(x[at == i], max(1, round(leaves * (at == i).mean())), rng)[0] if (at == i).any() else cells[i : i + 1] for i in range(len(cells))]
@@ -121,6 +124,23 @@ def home_leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
     return leaf_order(tree, x, 1)[:, 0]
 
 
+def fit_trees(x: np.ndarray, n: int, cfg: TreeConfig) -> list[Tree]:
+    """Independent trees, their cells and leaves numbered on from tree to tree."""
+    return [fit_tree(x, n, cfg, i) for i in range(cfg.trees)]
+
+
+def leaf_orders(trees: list[Tree], x: np.ndarray, visits: int) -> np.ndarray:
+    """leaf_order in every tree, side by side, by number among the leaves of all."""
+    base = np.cumsum([0] + [len(t.leaves) for t in trees])
+    return np.concatenate([leaf_order(t, x, visits) + np.int32(b) for t, b in zip(trees, base[:-1], strict=True)], axis=1)
+
+
+def cell_of(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each leaf, and the tree of each cell, numbered over all trees."""
+    base = np.cumsum([0] + [len(t.cells) for t in trees])
+    return np.concatenate([t.owner + b for t, b in zip(trees, base[:-1], strict=True)]), np.repeat(np.arange(len(trees)), np.diff(base))
+
+
 def _rows_of(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
 
@@ -142,6 +162,21 @@ def _unpack(rows: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _pack_coarse(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in bytes: the step, the distance from the vector that the bytes stand for, and a byte a value."""
+    step = np.maximum(np.abs(x).max(1), 1e-30) / 127
+    steps = np.rint(x / step[:, None])
+    error = np.sqrt(((x - steps * step[:, None]) ** 2).sum(1))
+    head = np.stack([step, error], axis=1).astype(np.float32)
+    return [h.tobytes() + b.tobytes() for h, b in zip(head, steps.astype(np.int8), strict=True)]
+
+
+def _unpack_coarse(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), width + 8)
+    head = raw[:, :8].copy().view(np.float32)
+    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
+
+
 def usable(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Rows whose vector has the width, no null, NaN or infinity, and is not all zero."""
     v = F.col(vector)
@@ -165,7 +200,7 @@ class VectorIndex:
         self.spark, self.width, self.floor, self.cfg, self.k, self.sign = df.sparkSession, width, floor, cfg or TreeConfig(), k, -1 if weakest else 1
         vectors = usable(df, vector, width).select(F.xxhash64(vector).alias("vid"), F.col(vector).cast("array<float>").alias("v"))
         self.rows = vectors.count()
-        self.tree: Tree | None = None
+        self.trees: list[Tree] = []
         self.table: DataFrame | None = None
         self.visits, self.shares, self.recall = 0, {}, 1.0
         if self.rows:
@@ -181,8 +216,8 @@ class VectorIndex:
         x = unit(_rows_of(drawn["v"].combine_chunks(), width))[first]
         pick = np.random.default_rng(cfg.seed).permutation(len(x))[:want]
         x, vid = x[pick], vid[pick]
-        self.tree = fit_tree(x, self.rows, cfg)
-        tree = spark.sparkContext.broadcast(self.tree)
+        self.trees = fit_trees(x, self.rows, cfg)
+        trees = spark.sparkContext.broadcast(self.trees)
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -195,9 +230,11 @@ class VectorIndex:
                 if len(seen) < 1_000_000:  # beyond it copies pass and are reduced in the cell's task
                     seen.update(ids[at].tolist())
                 raw = _rows_of(batch.column(1), width)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(home_leaf(tree.value, unit(raw)), pa.int32()), pa.array(_pack(raw), pa.binary())], names=["vid", "home", "vec"])
+                home = leaf_orders(trees.value, unit(raw), 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * home.shape[1]), pa.array(home.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists, pa.array(_pack(raw), pa.binary())], names=["vid", "home", "vec"])
 
-        self.table = cut(vectors.mapInArrow(index, "vid bigint, home int, vec binary"), "vectors")
+        self.table = cut(vectors.mapInArrow(index, "vid bigint, home array<int>, vec binary"), "vectors")
         self._calibrate(x[: cfg.probes], vid[: cfg.probes])
 
     def _calibrate(self, queries: np.ndarray, vids: np.ndarray) -> None:
@@ -210,8 +247,8 @@ class VectorIndex:
             best: list[tuple[np.ndarray, ...]] = []
             count: dict[int, int] = {}
             for batch in batches:
-                ids, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for h, n in zip(*np.unique(home, return_counts=True), strict=True):
+                ids = batch.column(0).to_numpy()
+                for h, n in zip(*np.unique(batch.column(1).flatten().to_numpy(), return_counts=True), strict=True):
                     count[int(h)] = count.get(int(h), 0) + int(n)
                 packed = batch.column(2).to_pylist()
                 sims = q @ unit(_unpack(packed, width)).T
@@ -221,73 +258,79 @@ class VectorIndex:
                 s = np.take_along_axis(sims, top, axis=1)
                 r, c = np.nonzero(s >= floor)
                 hit = top[r, c]
-                best.append((r.astype(np.int32), home[hit], ids[hit], s[r, c], np.ones(len(r), np.int64), [packed[i] for i in hit.tolist()]))
+                best.append((r.astype(np.int32), ids[hit], s[r, c], np.ones(len(r), np.int64), [packed[i] for i in hit.tolist()]))
             leaves, n = np.fromiter(count, np.int32, len(count)), np.fromiter(count.values(), np.int64, len(count))
-            sizes = (np.full(len(count), -1, np.int32), leaves, leaves.astype(np.int64), np.zeros(len(count), np.float32), n, [b""] * len(count))
+            sizes = (np.full(len(count), -1, np.int32), leaves.astype(np.int64), np.zeros(len(count), np.float32), n, [b""] * len(count))
             parts = list(zip(*best, sizes, strict=True))
-            cols = [pa.array(np.concatenate(c)) for c in parts[:5]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([v for c in parts[5] for v in c], pa.binary())], names=["q", "home", "vid", "s", "n", "vec"])
+            cols = [pa.array(np.concatenate(c)) for c in parts[:4]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([v for c in parts[4] for v in c], pa.binary())], names=["q", "vid", "s", "n", "vec"])
 
-        hits = self.table.mapInArrow(scan, "q int, home int, vid bigint, s float, n bigint, vec binary").groupBy("q", "home", "vid").agg(F.max("s").alias("s"), F.sum("n").alias("n"), F.max("vec").alias("vec"))
-        best = Window.partitionBy("q", F.when(F.col("q") < 0, F.col("home"))).orderBy(-sign * F.col("s"), "vid")
+        hits = self.table.mapInArrow(scan, "q int, vid bigint, s float, n bigint, vec binary").groupBy("q", "vid").agg(F.max("s").alias("s"), F.sum("n").alias("n"), F.max("vec").alias("vec"))
+        best = Window.partitionBy("q", F.when(F.col("q") < 0, F.col("vid"))).orderBy(-sign * F.col("s"), "vid")
         raw = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).toArrow()  # at most probes x k rows, and one per leaf
-        q, home, ids, s, n = (raw[c].to_numpy() for c in ("q", "home", "vid", "s", "n"))
-        members = np.zeros(len(self.tree.leaves), np.int64)
-        np.add.at(members, home[q < 0], n[q < 0])
-        cell_members = np.add.reduceat(members, self.tree.first[:-1])
+        q, ids, n = (raw[c].to_numpy() for c in ("q", "vid", "n"))
+        owner, tree_of = cell_of(self.trees)
+        cell_members = np.zeros(len(tree_of), np.int64)
+        np.add.at(cell_members, owner[ids[q < 0]], n[q < 0])
         self.shares = {int(c): int(-(-m // cfg.share)) for c, m in enumerate(cell_members) if m > cfg.share}
         some = q >= 0
         other = unit(_unpack([v for v, k in zip(raw["vec"].to_pylist(), some, strict=True) if k], width)) if some.any() else queries[:0]
-        q, home = q[some], home[some]
-        own = home_leaf(self.tree, queries)
-        visits, most = 1, len(self.tree.leaves)
+        q = q[some]
+        home, own = leaf_orders(self.trees, other, 1), leaf_orders(self.trees, queries, 1)[q]
+        visits, most = 1, max(len(t.leaves) for t in self.trees)
         while True:
             if not len(q):
                 self.visits, self.recall = min(4, most), 1.0
                 return
             # a pair is met if either visits the other's leaf
-            there, back = leaf_order(self.tree, queries, visits)[q] == home[:, None], leaf_order(self.tree, other, visits) == own[q][:, None]
-            self.recall = float((there.any(1) | back.any(1)).mean())
+            there, back = leaf_orders(self.trees, queries, visits)[q], leaf_orders(self.trees, other, visits)
+            met = np.zeros(len(q), bool)
+            for t in range(len(self.trees)):
+                met |= (there == home[:, t : t + 1]).any(1) | (back == own[:, t : t + 1]).any(1)
+            self.recall = float(met.mean())
             if self.recall >= cfg.target or visits >= most:
-                self.visits = visits
+                self.visits = min(most, math.ceil(cfg.spare * visits))
                 return
             visits = min(most, visits + max(1, visits // 4))
 
-    def visit(self, work: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], schema: str, names: list[str]) -> DataFrame:
+    def visit(self, work: Callable[..., tuple[np.ndarray, ...]], schema: str, names: list[str], coarse: bool = False) -> DataFrame:
         """Bring every vector to the cells it visits and apply work to one cell at a time.
 
-        work(x, vid, home, query, leaf) gets the unit vectors of the cell's task (each vid once), the home leaf of each
-        (-1 where it only visits), and the visits as pairs (row, leaf); it returns the columns of its rows.
+        work(x, error, vid, home, query, leaf) gets the unit vectors of the cell's task (each vid once), how far each may
+        be from the true one (0, or little if coarse, when vectors travel in a byte a value), the home leaf of each (-1
+        where it only visits), and the visits as pairs (row, leaf); it returns the columns of its rows.
         """
         width, visits, shares = self.width, self.visits, self.shares
-        tree = self.spark.sparkContext.broadcast(self.tree)
+        trees = self.spark.sparkContext.broadcast(self.trees)
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = tree.value
+            owner, tree_of = cell_of(trees.value)
             for batch in batches:
-                ids, homes, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-                seen = leaf_order(t, unit(_unpack(vecs.to_pylist(), width)), visits)
-                cell = t.owner[seen]
-                row, cells, mask = [], [], []
-                for i, (cs, ls) in enumerate(zip(cell.tolist(), seen.tolist(), strict=True)):
-                    by: dict[int, list[int]] = {}
-                    for c, leaf in zip(cs, ls, strict=True):
-                        by.setdefault(c, []).append(leaf)
-                    for c, leaves in by.items():
-                        row.append(i)
-                        cells.append(c)
-                        mask.append(leaves)
-                row_, cells_ = np.array(row, np.int64), np.array(cells, np.int32)
-                home = np.where(t.owner[homes[row_]] == cells_, homes[row_], -1).astype(np.int32)
+                ids, vecs = batch.column(0).to_numpy(), batch.column(2)
+                homes = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+                x = unit(_unpack(vecs.to_pylist(), width))
+                seen = leaf_orders(trees.value, x, visits)
+                if coarse:
+                    vecs = pa.array(_pack_coarse(x), pa.binary())
+                # one row per vector and cell, with the leaves visited there
+                row, leaf = np.repeat(np.arange(len(ids)), seen.shape[1]), seen.ravel()
+                cell = owner[leaf]
+                by = np.lexsort((cell, row))
+                row, leaf, cell = row[by], leaf[by], cell[by]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]))
+                row_, cells_ = row[first], cell[first].astype(np.int32)
+                mask = pa.ListArray.from_arrays(pa.array(np.append(first, len(leaf)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
+                home = homes[row_, tree_of[cells_]]
+                home = np.where(owner[home] == cells_, home, -1).astype(np.int32)
                 share = np.zeros(len(row_), np.int32)
                 if shares:
-                    parts = np.array([shares.get(int(c), 1) for c in cells_])
+                    parts = np.array([shares.get(c, 1) for c in cells_.tolist()])
                     rep = np.repeat(np.arange(len(row_)), parts)
                     share = (np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
-                    row_, cells_, mask = row_[rep], cells_[rep], [mask[i] for i in rep.tolist()]
+                    row_, cells_, mask = row_[rep], cells_[rep], mask.take(pa.array(rep))
                     home = np.where(ids[row_] % parts[rep] == share, home[rep], -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells_), pa.array(share), pa.array(ids[row_]), pa.array(home), pa.array(mask, pa.list_(pa.int32())), vecs.take(pa.array(row_))], names=["cell", "share", "vid", "home", "leaves", "vec"]
+                    [pa.array(cells_), pa.array(share), pa.array(ids[row_]), pa.array(home), mask, vecs.take(pa.array(row_))], names=["cell", "share", "vid", "home", "leaves", "vec"]
                 )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +343,10 @@ class VectorIndex:
                 _, at = np.unique(vid, return_index=True)
                 t = t.take(pa.array(at))
                 leaves = t["leaves"].combine_chunks()
-                x = unit(_unpack(t["vec"].to_pylist(), width))
+                packed = t["vec"].to_pylist()
+                x, error = _unpack_coarse(packed, width) if coarse else (unit(_unpack(packed, width)), np.zeros(len(packed), np.float32))
                 lens = leaves.value_lengths().to_numpy()
-                cols = work(x, vid[at], t["home"].to_numpy(), np.repeat(np.arange(len(at)), lens), leaves.flatten().to_numpy())
+                cols = work(x, error, vid[at], t["home"].to_numpy(), np.repeat(np.arange(len(at)), lens), leaves.flatten().to_numpy())
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
             at = None
@@ -320,9 +364,23 @@ class VectorIndex:
                 yield finish()
 
         sent = self.table.mapInArrow(spread, "cell int, share int, vid bigint, home int, leaves array<int>, vec binary")
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(len(self.tree.cells), 2_000))
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(sum(len(t.cells) for t in self.trees), 2_000))
         return sent.repartition(parts, "cell", "share").sortWithinPartitions("cell", "share").mapInArrow(run, schema)
 
+    def similarity(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of pairs (a, b) of vids, from the vectors themselves."""
+        width = self.width
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (unit(_unpack(batch.column(i).to_pylist(), width)) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", x, y, dtype=np.float64))], names=["a", "b", "similarity"])
+
+        ends = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
+        vectors = self.table.select("vid", "vec").join(ends, "vid", "left_semi").groupBy("vid").agg(F.max("vec").alias("vec"))
+        both = pairs.join(vectors.select(F.col("vid").alias("a"), F.col("vec").alias("x")), "a").join(vectors.select(F.col("vid").alias("b"), F.col("vec").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint, similarity double")
+
     def close(self) -> None:
         if self.table is not None:
             drop(self.table)
@@ -349,7 +407,7 @@ def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, floor: f
     return rows[r], cols[top[r, c]]
 
 
-def _top(x: np.ndarray, vid: np.ndarray, home: np.ndarray, query: np.ndarray, leaf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
+def _top(x: np.ndarray, error: np.ndarray, vid: np.ndarray, home: np.ndarray, query: np.ndarray, leaf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
     """The k best neighbours at or above the floor that each row has here, among the members of its leaves and the visitors of its home."""
     got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for m, v in by_leaf(home, query, leaf):
