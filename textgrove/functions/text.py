@@ -38,7 +38,7 @@ def basename(c: Column | str) -> Column:
 
 def found_at(hay: Column | str, needle: Column | str) -> Column:
     """0-based offset of the first occurrence, -1 if there is none; an empty needle is found at 0."""
-    return (F.locate(needle, hay) if isinstance(needle, str) and isinstance(hay, str) else F.call_function("instr", _col(hay), _col(needle))) - 1
+    return F.call_function("instr", _col(hay), _col(needle)) - 1
 
 
 def piece(c: Column | str, start: Column, end: Column) -> Column:
