@@ -211,7 +211,16 @@ class VectorIndex:
         want = min(cfg.sample, self.rows)
         part = min(1.0, 1.2 * want / self.rows + 1e-4)
         # rows are drawn by their hash, so a rerun draws the same; copies of a vector count once
-        drawn = vectors.where(F.abs(F.xxhash64("vid", F.lit(cfg.seed)) % 1_000_000) < int(part * 1_000_000) + 1).limit(2 * want).toArrow()
+        chosen = vectors.where(F.abs(F.xxhash64("vid", F.lit(cfg.seed)) % 1_000_000) < int(part * 1_000_000) + 1)
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                at = [i for i, v in enumerate(ids) if not (v in seen or seen.add(v))]
+                yield batch.take(pa.array(at, pa.int64()))
+
+        drawn = chosen.mapInArrow(once, chosen.schema).toArrow()
         vid, first = np.unique(drawn["vid"].to_numpy(), return_index=True)
         x = unit(_rows_of(drawn["v"].combine_chunks(), width))[first]
         pick = np.random.default_rng(cfg.seed).permutation(len(x))[:want]
