@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .density import linked_clusters
+from .density import density_clusters, linked_clusters
 from .vector_tree import similar_pairs
 
 
@@ -17,5 +18,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_clusters(table(spark, root, "chunks"), "chunk_id", "vector", floor=0.75, least=3, newest="ingested_at").selectExpr("cluster_key", "id AS chunk_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """(cluster_key, size, place, chunk_id, summary): each stable cluster's most typical members with their summaries."""
+    chunks = table(spark, root, "chunks")
+    found = density_clusters(chunks, "chunk_id", "vector", newest="ingested_at").where("place is not null")
+    told = chunks.groupBy("chunk_id").agg(F.max("summary").alias("summary"))
+    return found.join(told, found["id"] == told["chunk_id"]).select("cluster_key", "size", "place", "chunk_id", "summary")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_clusters": p5_clusters}
 SQL: dict[str, str] = {}
