@@ -82,6 +82,14 @@ def test_components_and_children(spark):
     assert [(r["id"], r["rank"]) for r in vectors.child_topk(rows, q, 2).orderBy("rank").collect()] == [(0, 1), (1, 2)]
 
 
+def test_query_set(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.9, 0.1]), (4, [0.0, 0.0]), (5, None), (6, [1.0]), (7, [-1.0, 0.0])], "id long, v array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (9, None), (8, [3.0])], "query_id long, q array<double>")
+    got = {(r["query_id"], r["id"], r["rank"]) for r in vectors.query_topk(rows, asked, 1).collect()}
+    assert got == {(1, 2, 1), (8, 6, 1)}
+    assert vectors.query_topk(rows, asked.limit(0)).count() == vectors.query_topk(rows.limit(0), asked).count() == 0
+
+
 def test_tree_rollups(spark):
     c = spark.createDataFrame(
         [("a", None, 0, 1, (0, 9), None, ""), ("b", "a", 1, 2, (9, 5), "B", " s "), ("c", "a", 0, 2, (2, 4), "C", None), ("d", "a", 0, 2, None, None, None)],

@@ -84,16 +84,16 @@ def cosine(v: Column | str, w: Column | str) -> Column:
     return F.when((F.size(_col(v)) == F.size(_col(w))) & (size > 0), dot(v, w) / size)
 
 
-def letters(c: Column | str) -> Column:
-    """Counts of a to z in the lower-cased text: the deterministic stand-in for a text embedding."""
-    low = F.lower(_col(c))
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(i)), F.lit("")))).cast("double") for i in range(97, 123)])
-
-
 def sentences(c: Column | str, n: int) -> Column:
     """The first n sentences (ends: a full stop and a blank), trimmed: the deterministic stand-in for a summary."""
     return trimmed(F.array_join(F.slice(F.split(_col(c), r"\. "), 1, n), ". "))
 
 
+def unit(v: Column | str) -> Column:
+    """v divided by its length; null for a null, empty or zero vector, or one that holds a null."""
+    size = norm(v)
+    return F.when(size > 0, F.transform(_col(v), lambda x: x.cast("double") / size))
+
+
 def overlap(s: str, e: str, s2: str, e2: str) -> Column:
     return F.greatest(F.lit(0), F.least(F.col(e), F.col(e2)) - F.greatest(F.col(s), F.col(s2)))

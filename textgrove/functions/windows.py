@@ -81,6 +81,12 @@ def seeded_draw(seed: pd.Series) -> pd.Series:
     return seed.map(lambda s: random.Random(s).random())
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def letters(text: pd.Series) -> pd.Series:
+    """Counts of a to z in the lower-cased text: the deterministic stand-in for a text embedding. Null for null."""
+    return text.map(lambda t: None if t is None else np.bincount(np.frombuffer(t.lower().encode("utf-8", "surrogatepass"), np.uint8), minlength=123)[97:123].astype(np.float64))
+
+
 def toc_components(text: str | None) -> list[dict]:
     """Components of a table of contents in JSON: name, description and children (name, description).
 

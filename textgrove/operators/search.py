@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import basename, letters
-from ..functions.windows import toc_udf
+from ..functions.text import basename
+from ..functions.windows import letters, toc_udf
 from .vectors import child_topk
 
 

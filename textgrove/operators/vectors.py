@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine
+from ..functions.text import dot, unit
 from ..session import cut
 
 QUERY_BLOCK = 4_096
@@ -19,7 +21,9 @@ def child_topk(children: DataFrame, queries: DataFrame, k: int = 5, threshold: f
 
     Rows without a vector, zero vectors and other widths score null and drop out; ties go to the smaller id.
     """
-    scored = queries.join(children, "parent").select("query_id", "parent", "id", cosine("v", "q").alias("score")).where(F.col("score") > threshold)
+    queries = queries.select("query_id", "parent", unit("q").alias("q")).where("q is not null")
+    children = children.select("parent", "id", unit("v").alias("v")).where("v is not null")
+    scored = queries.join(children, "parent").where(F.size("q") == F.size("v")).select("query_id", "parent", "id", dot("v", "q").alias("score")).where(F.col("score") > threshold)
     best = Window.partitionBy("query_id", "parent").orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -27,18 +31,44 @@ def child_topk(children: DataFrame, queries: DataFrame, k: int = 5, threshold: f
 def query_topk(rows: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries (query_id, q) against all other rows (id, v), a block of queries at a time.
 
-    A block has half of QUERY_BLOCK queries on average, so what is sent to all tasks is bounded; a map task keeps its k best of
-    each query before the shuffle (the rank filter is pushed below it).
+    A block has half of QUERY_BLOCK queries on average, so what is sent to all tasks is bounded. A task compares a batch
+    of rows with a block in one product and hands on the k best of each query, with those that tie with the last.
     """
+    kind = dict(rows.dtypes)["id"]
     blocks = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
-    numbered = cut(queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    numbered = cut(queries.select("query_id", unit("q").alias("q")).where("q is not null").withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    name = dict(numbered.dtypes)["query_id"]
+    rows = rows.select("id", unit("v").alias("v")).where("v is not null")
     out = None
     for b in range(blocks):
-        block = numbered.where(F.col("__b") == b).select("query_id", "q")
-        scored = rows.crossJoin(F.broadcast(block)).where("id <> query_id").select("query_id", "id", cosine("v", "q").alias("score")).where(F.col("score") > threshold)
-        top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        held = numbered.where(F.col("__b") == b).select("query_id", "q").toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast(held)
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            asked = _by_width(sent.value["query_id"], sent.value["q"].combine_chunks())
+            for batch in batches:
+                for width, (ids, x) in _by_width(batch.column(0), batch.column(1)).items():
+                    if width not in asked:
+                        continue
+                    names, q = asked[width]
+                    scores = q @ x.T
+                    last = np.partition(scores, -min(k + 1, len(x)), axis=1)[:, -min(k + 1, len(x))]  # one more, for the query itself
+                    r, c = np.nonzero((scores >= last[:, None] - 1e-9) & (scores > threshold))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), ids.take(pa.array(c)), pa.array(scores[r, c])], names=["query_id", "id", "score"])
+
+        top = rows.mapInArrow(best, f"query_id {name}, id {kind}, score double").where("id <> query_id")
         out = top if out is None else out.unionByName(top)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    widths = vectors.value_lengths().to_numpy()
+    out = {}
+    for w in np.unique(widths).tolist():
+        of = pa.array(np.flatnonzero(widths == w))
+        out[w] = (ids.take(of), vectors.take(of).flatten().to_numpy(zero_copy_only=False).reshape(-1, w))
     return out
 
 

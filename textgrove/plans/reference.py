@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import found_at, letters, model_json, newlines, split_at_marker
-from ..functions.windows import find_window
+from ..functions.text import found_at, model_json, newlines, split_at_marker
+from ..functions.windows import find_window, letters
 from ..operators import evaluate, graph, search, tree, vectors
 from ..session import shared_dir
 from ..sources.tables import leaf_rows, table
