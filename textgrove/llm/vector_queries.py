@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .density import density_clusters, linked_clusters
-from .vector_tree import similar_pairs
+from .vector_tree import VectorIndex, neighbours, recall_of, similar_pairs, usable
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return similar_pairs(table(spark, root, "chunks"), "chunk_id", "vector", k=5, floor=0.8, newest="ingested_at").selectExpr("a AS chunk_a", "b AS chunk_b")
 
 
+def p3_recall(spark: SparkSession, root: str) -> DataFrame:
+    """Measured recall of the index: every chunk whose number (its id read as hexadecimal) is divisible by 100, against all vectors."""
+    chunks = table(spark, root, "chunks").where("chunk_id is not null")
+    index = VectorIndex(chunks, "vector", 128, 0.8, k=5)
+    number = F.conv(F.substring("chunk_id", 2, 15), 16, 10).cast("decimal(20,0)")
+    asked = usable(chunks.where(number % 100 == 0), "vector", 128).select(F.xxhash64("vector").alias("vid"))
+    return recall_of(index, neighbours(index), asked)
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return linked_clusters(table(spark, root, "chunks"), "chunk_id", "vector", floor=0.75, least=3, newest="ingested_at").selectExpr("cluster_key", "id AS chunk_id")
 
@@ -26,5 +35,5 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
     return found.join(told, found["id"] == told["chunk_id"]).select("cluster_key", "size", "place", "chunk_id", "summary")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_clusters": p5_clusters}
+QUERIES = {"p3_found": p3_found, "p3_recall": p3_recall, "p5_found": p5_found, "p5_clusters": p5_clusters}
 SQL: dict[str, str] = {}

@@ -474,3 +474,41 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, k: int = 5, floor: fl
     across = listed.select(F.explode("ids").alias("id"), F.col("z.o").alias("other"), F.col("z.s").alias("similarity"))
     pairs = copies.unionByName(across).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "similarity")
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def recall_of(index: VectorIndex, found: DataFrame, queries: DataFrame, block: int = 4_096) -> DataFrame:
+    """One row (queries, expected, met, recall): of the k best neighbours at or above the floor that a scan of all vectors
+    gives for the queries (vid), how many found (vid, other) holds in either direction.
+
+    The scan is exact and goes over all vectors once per `block` queries, which is also what a task is sent at a time.
+    With nothing to expect the recall is null.
+    """
+    spark, width, k, floor = index.spark, index.width, index.k, index.floor
+    held = index.table.join(queries.select("vid").distinct(), "vid", "left_semi").groupBy("vid").agg(F.max("vec").alias("vec"))
+    held = cut(held.select("vid", "vec"), "query-vectors")
+    n = held.count()
+    blocks = max(1, -(-n // block))
+    held = held.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(blocks)))
+    expected = None
+    for b in range(blocks):
+        got = held.where(F.col("block") == b).toArrow()
+        sent = spark.sparkContext.broadcast((unit(_unpack(got["vec"].to_pylist(), width)), got["vid"].to_numpy()))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q, vids = sent.value
+            for batch in batches:
+                ids, x = batch.column(0).to_numpy(), unit(_unpack(batch.column(1).to_pylist(), width))
+                sims = q @ x.T
+                sims[vids[:, None] == ids[None, :]] = -2
+                r, c = _best(sims, np.arange(len(q)), np.arange(len(ids)), k, floor)
+                s = np.einsum("ij,ij->i", q[r], x[c], dtype=np.float64)
+                ok = s >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(vids[r[ok]]), pa.array(ids[c[ok]]), pa.array(s[ok])], names=["vid", "other", "s"])
+
+        near = index.table.select("vid", "vec").mapInArrow(scan, "vid bigint, other bigint, s double")
+        expected = near if expected is None else expected.unionByName(near)
+    best = Window.partitionBy("vid").orderBy(F.desc("s"), "other")
+    expected = expected.groupBy("vid", "other").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    pairs = found.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct().withColumn("hit", F.lit(1))
+    both = expected.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).join(pairs, ["a", "b"], "left")
+    return both.agg(F.lit(n).alias("queries"), F.count("*").alias("expected"), F.count("hit").alias("met"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
