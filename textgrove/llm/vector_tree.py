@@ -302,9 +302,10 @@ class VectorIndex:
                 return
             visits = min(most, visits + max(1, visits // 4))
 
-    def visit(self, work: Callable[..., tuple[np.ndarray, ...]], schema: str, names: list[str], coarse: bool = False) -> DataFrame:
+    def visit(self, work: Callable[..., tuple[np.ndarray, ...]], schema: str, names: list[str], coarse: bool = False, extra: DataFrame | None = None) -> DataFrame:
         """Bring every vector to the cells it visits and apply work to one cell at a time.
 
+        extra: (vid, a number), one row for every vector; the numbers travel along and are work's last argument.
         work(x, error, vid, home, query, leaf) gets the unit vectors of the cell's task (each vid once), how far each may
         be from the true one (0, or little if coarse, when vectors travel in a byte a value), the home leaf of each (-1
         where it only visits), and the visits as pairs (row, leaf); it returns the columns of its rows.
@@ -338,8 +339,9 @@ class VectorIndex:
                     share = (np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
                     row_, cells_, mask = row_[rep], cells_[rep], mask.take(pa.array(rep))
                     home = np.where(ids[row_] % parts[rep] == share, home[rep], -1).astype(np.int32)
+                more = [batch.column(3).take(pa.array(row_))] if batch.num_columns > 3 else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells_), pa.array(share), pa.array(ids[row_]), pa.array(home), mask, vecs.take(pa.array(row_))], names=["cell", "share", "vid", "home", "leaves", "vec"]
+                    [pa.array(cells_), pa.array(share), pa.array(ids[row_]), pa.array(home), mask, vecs.take(pa.array(row_)), *more], names=["cell", "share", "vid", "home", "leaves", "vec", "extra"][: 6 + len(more)]
                 )
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +357,7 @@ class VectorIndex:
                 packed = t["vec"].to_pylist()
                 x, error = _unpack_coarse(packed, width) if coarse else (unit(_unpack(packed, width)), np.zeros(len(packed), np.float32))
                 lens = leaves.value_lengths().to_numpy()
-                cols = work(x, error, vid[at], t["home"].to_numpy(), np.repeat(np.arange(len(at)), lens), leaves.flatten().to_numpy())
+                cols = work(x, error, vid[at], t["home"].to_numpy(), np.repeat(np.arange(len(at)), lens), leaves.flatten().to_numpy(), *([t["extra"].to_numpy()] if "extra" in t.column_names else []))
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
             at = None
@@ -372,7 +374,10 @@ class VectorIndex:
             if held:
                 yield finish()
 
-        sent = self.table.mapInArrow(spread, "cell int, share int, vid bigint, home int, leaves array<int>, vec binary")
+        rows, sent_as = self.table, "cell int, share int, vid bigint, home int, leaves array<int>, vec binary"
+        if extra is not None:
+            rows, sent_as = rows.join(extra.toDF("vid", "extra"), "vid").select("vid", "home", "vec", F.col("extra").cast("double")), sent_as + ", extra double"
+        sent = rows.mapInArrow(spread, sent_as)
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(sum(len(t.cells) for t in self.trees), 2_000))
         return sent.repartition(parts, "cell", "share").sortWithinPartitions("cell", "share").mapInArrow(run, schema)
 
