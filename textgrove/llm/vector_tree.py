@@ -28,7 +28,7 @@ from ..session import cut, drop
 @dataclass(frozen=True)
 class TreeConfig:
     """sample: most vectors the tree is fitted on. leaf: members aimed at per leaf. leaves: most leaves (sample allowing).
-    target: recall to be reached by the calibration. probes: sampled queries of the calibration. share: most members of
+    target: recall to be reached by the calibration. probes: sampled queries of the calibration, none of them fitted where the sample is not all rows. share: most members of
     a cell that one task takes. trees: independent trees, which all are visited: pairs that one parts another may not.
     spare: by what factor the visits exceed those that reach the target on the sampled queries. gain: the quantile that stands for the usual gain of a cell's leaves on its centre.
     per_cell: leaves per cell. seed: of the sample and the fit."""
@@ -223,9 +223,11 @@ class VectorIndex:
         drawn = chosen.mapInArrow(once, chosen.schema).toArrow()
         vid, first = np.unique(drawn["vid"].to_numpy(), return_index=True)
         x = unit(_rows_of(drawn["v"].combine_chunks(), width))[first]
-        pick = np.random.default_rng(cfg.seed).permutation(len(x))[:want]
+        pick = np.random.default_rng(cfg.seed).permutation(len(x))[: want + cfg.probes]
         x, vid = x[pick], vid[pick]
-        self.trees = fit_trees(x, self.rows, cfg)
+        # where the sample is not all rows, the probes are kept out of the fit: a fitted vector draws its leaf's centre to itself
+        fitted = min(want, max(len(x) - cfg.probes, (len(x) + 1) // 2)) if self.rows > want else len(x)
+        self.trees = fit_trees(x[:fitted], self.rows, cfg)
         trees = spark.sparkContext.broadcast(self.trees)
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,8 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists, pa.array(_pack(raw), pa.binary())], names=["vid", "home", "vec"])
 
         self.table = cut(vectors.mapInArrow(index, "vid bigint, home array<int>, vec binary"), "vectors")
-        self._calibrate(x[: cfg.probes], vid[: cfg.probes])
+        asked = slice(fitted, fitted + cfg.probes) if fitted < len(x) else slice(cfg.probes)
+        self._calibrate(x[asked], vid[asked])
 
     def _calibrate(self, queries: np.ndarray, vids: np.ndarray) -> None:
         """Scan all vectors for the best neighbours of the sampled queries; widen the visits until the target is reached."""
