@@ -62,3 +62,27 @@ def test_stream(spark, tmp_path):
     q.stop()
     rows = [tuple(r) for r in spark.sql("SELECT key, gap_start, gap_end, open FROM gaps").collect()]
     assert rows == [("a", 5, 10, True), ("a", 5, 10, False), ("a", 7, 10, True)]
+
+
+def test_stream_across_blocks(spark, tmp_path):
+    src, n = str(tmp_path / "in"), 1 << 20
+    rnd = random.Random(4)
+    batches = [
+        [("a", 5, 9), ("a", n + 3, n + 4), ("a", 4 * n + 1, 4 * n + 2), ("b", 0, n), ("b", n, n + 7), ("c", 0, n), ("c", n + 1, n + 2), ("d", -9, -3), ("d", 2, 3)],
+        [("a", 2 * n, 2 * n + 5), ("a", 9, n + 3), ("c", n, n + 1), ("d", -3, 1)],
+        [("r", s := rnd.randrange(-3 * n, 9 * n), s + rnd.randrange(1, n // 3)) for _ in range(25)],
+        [("r", s := rnd.randrange(-3 * n, 9 * n), s + rnd.randrange(1, n)) for _ in range(12)],
+    ]
+    q = None
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ROWS).coalesce(2).write.mode("append").parquet(src)
+        if q is None:
+            q = gap_changes(spark.readStream.schema(ROWS).parquet(src), "k", "s", "e").writeStream.format("memory").queryName("gaps_across").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        net = {}
+        for r in spark.sql("SELECT * FROM gaps_across").collect():
+            gap = (r["key"], r["gap_start"], r["gap_end"])
+            assert r["block"] == (r["gap_start"] - 1) // n
+            net[gap] = net.get(gap, 0) + (1 if r["open"] else -1)
+        assert {g for g, c in net.items() if c} == brute([r for b in batches[: i + 1] for r in b])[1] and set(net.values()) <= {0, 1}
+    q.stop()
