@@ -1,7 +1,7 @@
 """Nearest neighbours of every vector through a hierarchical k-means tree.
 
 The tree has two levels, cells and leaves, and is fitted on the driver from a bounded sample. Every vector is indexed in
-its home leaf. As a query it visits leaves in best-bin-first order: a priority queue holds nodes by their similarity to
+its home leaf and visits it. As a query it visits leaves in best-bin-first order: a priority queue holds nodes by their similarity to
 the query; taking a cell pushes its leaves, taking a leaf counts as a visit. How many visits a query makes is calibrated:
 the visits are widened until the recall of sampled queries, held against a scan of all vectors, reaches the target.
 
@@ -326,7 +326,8 @@ class VectorIndex:
                 if coarse:
                     vecs = pa.array(_pack_coarse(x), pa.binary())
                 # one row per vector and cell, with the leaves visited there
-                row, leaf = np.repeat(np.arange(len(ids)), seen.shape[1]), seen.ravel()
+                at, tree = np.nonzero(~(seen[:, None, :] == homes[:, :, None]).any(2))  # homes that further cells pushed out of the visits
+                row, leaf = np.concatenate([np.repeat(np.arange(len(ids)), seen.shape[1]), at]), np.concatenate([seen.ravel(), homes[at, tree]])
                 cell = owner[leaf]
                 by = np.lexsort((cell, row))
                 row, leaf, cell = row[by], leaf[by], cell[by]
