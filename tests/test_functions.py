@@ -89,3 +89,24 @@ def test_sql_names(spark):
     tree = '{"a": {"start_sentence": "aa", "end_sentence": "bb"}}'
     assert spark.sql(f"SELECT path[0], start, end FROM chunk_tree('{tree}', 'aa bb')").first() == ("a", 0, 5)
     assert spark.sql("SELECT letter_embedding('Abba')[1], size(toc_components('{\"Annex\":\"t\"}'))").first() == (2.0, 1)
+
+
+def test_fuzzy_window_of_leaves(spark, sf):
+    from textgrove.plans.reference import fuzzy_window
+    from textgrove.sources.tables import table
+
+    rows = fuzzy_window(spark, sf).toPandas()
+    text = {r["doc_id"]: re.sub("\r\n?", "\n", r["content"]) for r in table(spark, sf, "contracts").where("doc_id is not null and content is not null").collect()}
+    leaf = {r["chunk_id"]: r for r in table(spark, sf, "chunks").where("content is not null").collect()}
+    inexact = 0
+    for r in rows.itertuples():
+        if r.chunk_id not in leaf or leaf[r.chunk_id]["doc_id"] not in text:
+            continue
+        content, own = text[leaf[r.chunk_id]["doc_id"]], re.sub("\r\n?", "\n", leaf[r.chunk_id]["content"]).strip(" \t\n\r\f\v")
+        said = re.split(r"(?<=\.)\s+", own, flags=re.ASCII)
+        first, last = (t.translate(str.maketrans("eE", "aA")) if r.altered else t for t in (said[0], said[-1]))
+        if r.altered:
+            inexact += 0 < r.score < 1 or 0 < r.last_score < 1
+        assert (r.score, r.last_score) == tuple(round(best_window(content, t)[2], 6) for t in (first, last))
+        assert (r.start, r.end) == sentence_range(content, first, last)
+    assert inexact > 3 and (rows["altered"].mean() < 0.2)

@@ -64,10 +64,15 @@ def best_window(content: str | None, target: str | None) -> tuple[int, int, floa
 
 def sentence_range(content: str | None, first: str | None, last: str | None) -> tuple[int, int]:
     """From the start of the first sentence's window to the end of the last one's; turned round if backwards, clipped to the content."""
-    a, b = best_window(content, first)[0], best_window(content, last)[1]
+    return scored_range(content, first, last)[:2]
+
+
+def scored_range(content: str | None, first: str | None, last: str | None) -> tuple[int, int, float, float]:
+    """sentence_range with the scores of the first and the last sentence's window."""
+    (a, _, first_score), (_, b, last_score) = best_window(content, first), best_window(content, last)
     n = len(content or "")
     a, b = min(a, b), max(a, b)
-    return max(0, min(a, n)), max(0, min(b, n))
+    return max(0, min(a, n)), max(0, min(b, n)), first_score, last_score
 
 
 @F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
@@ -75,6 +80,11 @@ def find_window(content: pd.Series, target: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_window(c, t) for c, t in zip(content, target, strict=True)], columns=["start", "end", "score"])
 
 
+@F.pandas_udf(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("last_score", T.DoubleType())]))
+def find_range(content: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([scored_range(c, a, b) for c, a, b in zip(content, first, last, strict=True)], columns=["start", "end", "score", "last_score"])
+
+
 @F.pandas_udf(T.DoubleType())
 def seeded_draw(seed: pd.Series) -> pd.Series:
     """The first draw of Python's generator seeded with the string."""

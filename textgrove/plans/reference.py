@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import found_at, model_json, newlines, split_at_marker
-from ..functions.windows import find_window, letters
+from ..functions.windows import find_range, letters
 from ..operators import evaluate, graph, search, tree, vectors
 from ..session import shared_dir
 from ..sources.tables import leaf_rows, table
@@ -303,13 +303,19 @@ def toc_components(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def fuzzy_window(spark: SparkSession, root: str) -> DataFrame:
-    """Where the first eight words of each leaf stand in its contract; the window similarity has no SQL form."""
+    """Where each leaf stands in its contract, from the window of its first sentence to that of its last, with their scores.
+
+    Of every 16th leaf, by the hash of its id, both sentences are altered (each e written as a), so that the windows of
+    the whole contract are compared and scored. The window similarity has no SQL form.
+    """
     leaves = leaf_rows(table(spark, root, "chunks"), "doc_id", "content").where("content is not null").dropDuplicates(["chunk_id"])
-    wanted = leaves.select("chunk_id", "doc_id", F.regexp_extract("content", r"^\s*(\S+(?:\s+\S+){0,7})", 1).alias("target"))
+    said = F.split(F.regexp_replace(newlines("content"), r"^\s+|\s+$", ""), r"(?<=\.)\s+")
+    wanted = leaves.select("chunk_id", "doc_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(16)) == 0).alias("altered"), F.element_at(said, 1).alias("first"), F.element_at(said, -1).alias("last"))
+    target = {c: F.when(F.col("altered"), F.translate(c, "eE", "aA")).otherwise(F.col(c)) for c in ("first", "last")}
     # rows, not contracts, are the unit of work: a long contract is searched by many tasks
-    pairs = wanted.join(_contracts(spark, root, "content"), "doc_id").repartition(F.col("chunk_id"))
-    found = pairs.select("chunk_id", find_window(newlines("content"), newlines("target")).alias("w"))
-    return found.select("chunk_id", "w.start", "w.end", F.round("w.score", 6).alias("score"))
+    pairs = wanted.withColumns(target).join(_contracts(spark, root, "content"), "doc_id").repartition(F.col("chunk_id"))
+    found = pairs.select("chunk_id", "altered", find_range(newlines("content"), "first", "last").alias("w"))
+    return found.select("chunk_id", "altered", "w.start", "w.end", F.round("w.score", 6).alias("score"), F.round("w.last_score", 6).alias("last_score"))
 
 
 # messages
