@@ -1,23 +1,30 @@
 """Nearest neighbours of every vector through a hierarchical k-means tree.
 
-The tree has two levels, cells and leaves, and is fitted on the driver from a bounded sample. Every vector is indexed in
-its home leaf and visits it. As a query it visits leaves in best-bin-first order: a priority queue holds nodes by their similarity to
-the query; taking a cell pushes its leaves, taking a leaf counts as a visit. How many visits a query makes is calibrated:
-the visits are widened until the recall of sampled queries, held against a scan of all vectors, reaches the target.
-
-Visited leaves of one cell travel together, so a vector is shuffled once per visited cell, not once per leaf. Exact
-copies of a vector are reduced to one before the shuffle, within each map task, and again in the cell's task. A cell
-with more members than a bound is dealt into shares; its queries go to each share, so nothing is left out.
+The first two levels of the tree, cells and leaves, are fitted on the driver from a bounded sample. Every vector visits
+leaves in best-bin-first order: a priority queue holds nodes by their similarity to the vector; taking a cell pushes its
+leaves, taking a leaf counts as a visit. Visited leaves of one cell travel together: a vector is shuffled once per visited
+cell, and there it is compared with every vector that visits the cell, so a pair is met if their visits share a cell. How
+many visits a vector makes is calibrated: they are widened until the recall of sampled queries, held against a scan of all
+vectors, reaches the target.
+
+A cell that outgrows a bound, as all do when the table grows and the sample does not, gets a tree of its own: fitted in an
+executor from a bounded sample of its vectors, which then visit its leaves in turn, level by level until the cells are
+small. So leaves keep their size however many vectors there are, and the driver holds the first levels only. Cells that
+no further tree divides, and those somewhat too large, are worked on in a grid of blocks: a task holds two groups of their
+vectors at most. Exact copies of a vector are reduced to one before the shuffle, within each map task, and again in the
+cell's task.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,21 +34,22 @@ from ..session import cut, drop
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """sample: most vectors the tree is fitted on. leaf: members aimed at per leaf. leaves: most leaves (sample allowing).
-    target: recall to be reached by the calibration. probes: sampled queries of the calibration, none of them fitted where the sample is not all rows. share: most members of
-    a cell that one task takes. trees: independent trees, which all are visited: pairs that one parts another may not.
+    """sample: most vectors the first levels are fitted on. leaf: members aimed at per leaf. leaves: most leaves of one fit.
+    target: recall to be reached by the calibration. probes: sampled queries of the calibration, none of them fitted where the sample is not all rows.
+    block: most vectors of one group in the grid of a cell. refine: vectors beyond which a cell gets a tree of its own. part: vectors such a tree is fitted on.
     spare: by what factor the visits exceed those that reach the target on the sampled queries. gain: the quantile that stands for the usual gain of a cell's leaves on its centre.
-    per_cell: leaves per cell. seed: of the sample and the fit."""
+    per_cell: leaves per cell. seed: of the samples and the fits."""
 
-    sample: int = 65_536
-    leaf: int = 400
-    leaves: int = 4_096
+    sample: int = 16_384
+    leaf: int = 150
+    leaves: int = 2_048
     target: float = 0.995
     probes: int = 1_024
-    share: int = 50_000
+    block: int = 12_000
+    refine: int = 150_000
+    part: int = 8_192
     gain: float = 0.9
     per_cell: int = 20
-    trees: int = 1
     spare: float = 1.0
     seed: int = 7
 
@@ -77,9 +85,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
     return c, (x @ c.T).argmax(1)
 
 
-def fit_tree(x: np.ndarray, n: int, cfg: TreeConfig, which: int = 0) -> Tree:
+def fit_tree(x: np.ndarray, n: int, cfg: TreeConfig) -> Tree:
     """x: unit vectors of the sample; n: vectors in all. Dense regions get leaves in proportion to their part of the sample."""
-    rng = np.random.default_rng(cfg.seed + which)
+    rng = np.random.default_rng(cfg.seed)
     leaves = max(1, min(cfg.leaves, math.ceil(n / cfg.leaf), len(x) // 8 or 1))
     cells, at = _kmeans(x, max(1, round(leaves / cfg.per_cell)), rng)
     parts = [_kmeans(x[at == i], max(1, round(leaves * (at == i).mean())), rng)[0] if (at == i).any() else cells[i : i + 1] for i in range(len(cells))]
@@ -120,25 +128,17 @@ def leaf_order(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
     return np.take_along_axis(leaf, np.argsort(queue, axis=1, kind="stable"), axis=1)
 
 
-def home_leaf(tree: Tree, x: np.ndarray) -> np.ndarray:
-    return leaf_order(tree, x, 1)[:, 0]
+def cells_of(tree: Tree, x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cells that each vector visits, once each."""
+    cell = np.sort(tree.owner[leaf_order(tree, x, visits)], axis=1)
+    row, at = np.nonzero(np.concatenate([np.ones((len(x), 1), bool), cell[:, 1:] != cell[:, :-1]], axis=1))
+    return row, cell[row, at]
 
 
-def fit_trees(x: np.ndarray, n: int, cfg: TreeConfig) -> list[Tree]:
-    """Independent trees, their cells and leaves numbered on from tree to tree."""
-    return [fit_tree(x, n, cfg, i) for i in range(cfg.trees)]
-
-
-def leaf_orders(trees: list[Tree], x: np.ndarray, visits: int) -> np.ndarray:
-    """leaf_order in every tree, side by side, by number among the leaves of all."""
-    base = np.cumsum([0] + [len(t.leaves) for t in trees])
-    return np.concatenate([leaf_order(t, x, visits) + np.int32(b) for t, b in zip(trees, base[:-1], strict=True)], axis=1)
-
-
-def cell_of(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each leaf, and the tree of each cell, numbered over all trees."""
-    base = np.cumsum([0] + [len(t.cells) for t in trees])
-    return np.concatenate([t.owner + b for t, b in zip(trees, base[:-1], strict=True)]), np.repeat(np.arange(len(trees)), np.diff(base))
+def _cell_sets(tree: Tree, x: np.ndarray, visits: int) -> np.ndarray:
+    out = np.zeros((len(x), len(tree.cells)), bool)
+    out[cells_of(tree, x, visits)] = True
+    return out
 
 
 def _rows_of(column: pa.Array, width: int) -> np.ndarray:
@@ -162,191 +162,168 @@ def _unpack(rows: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _pack_coarse(x: np.ndarray) -> list[bytes]:
-    """Unit vectors in bytes: the step, the distance from the vector that the bytes stand for, and a byte a value."""
-    step = np.maximum(np.abs(x).max(1), 1e-30) / 127
-    steps = np.rint(x / step[:, None])
-    error = np.sqrt(((x - steps * step[:, None]) ** 2).sum(1))
-    head = np.stack([step, error], axis=1).astype(np.float32)
-    return [h.tobytes() + b.tobytes() for h, b in zip(head, steps.astype(np.int8), strict=True)]
-
-
-def _unpack_coarse(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), width + 8)
-    head = raw[:, :8].copy().view(np.float32)
-    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
-
-
-def usable(df: DataFrame, vector: str, width: int) -> DataFrame:
-    """Rows whose vector has the width, no null, NaN or infinity, and is not all zero."""
-    v = F.col(vector)
-    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.where((F.size(v) == width) & sound & F.exists(v, lambda x: x != 0))
-
-
-def keyed(df: DataFrame, id_col: str, vector: str, width: int, newest: str | None = None) -> DataFrame:
-    """(id, vid): each id once, vid names its vector by a 64-bit hash of all values. Of an id with several vectors the newest counts, then the greatest vid."""
-    rows = usable(df.where(F.col(id_col).isNotNull()), vector, width)
-    at = F.col(newest) if newest else F.lit(0)
-    picked = rows.select(F.col(id_col).alias("id"), F.struct(at.alias("at"), F.xxhash64(vector).alias("vid")).alias("p")).groupBy("id").agg(F.max("p").alias("p"))
-    return picked.select("id", F.col("p.vid").alias("vid"))
-
-
 class VectorIndex:
-    """A fitted tree, its calibrated visits and the vectors, one row (vid, home, vec) per map task and distinct vector, in the shared folder."""
+    """A fitted tree, its calibrated visits, and two tables in the shared folder: vectors (vid, vec), a row per map task and
+    distinct vector, and ids (id, vid), a row per id. vid names a vector by a 64-bit hash of all its values."""
 
-    def __init__(self, df: DataFrame, vector: str, width: int, floor: float, cfg: TreeConfig | None = None, k: int = 5, weakest: bool = False):
-        """floor: similarities below it are of no interest. The calibration counts the k best neighbours at or above it, or the k weakest: those that join clusters."""
-        self.spark, self.width, self.floor, self.cfg, self.k, self.sign = df.sparkSession, width, floor, cfg or TreeConfig(), k, -1 if weakest else 1
-        vectors = usable(df, vector, width).select(F.xxhash64(vector).alias("vid"), F.col(vector).cast("array<float>").alias("v"))
-        self.rows = vectors.count()
-        self.trees: list[Tree] = []
-        self.table: DataFrame | None = None
-        self.visits, self.shares, self.recall = 0, {}, 1.0
-        if self.rows:
-            self._fit(vectors)
+    def __init__(self, df: DataFrame, id_col: str, vector: str, width: int, floor: float, cfg: TreeConfig | None = None, k: int = 5, weakest: bool = False, newest: str | None = None):
+        """floor: similarities below it are of no interest. The calibration counts the k best neighbours at or above it, or the k weakest: those that join clusters.
 
-    def _fit(self, vectors: DataFrame) -> None:
-        cfg, width, spark = self.cfg, self.width, self.spark
-        want = min(cfg.sample, self.rows)
-        part = min(1.0, 1.2 * want / self.rows + 1e-4)
-        # rows are drawn by their hash, so a rerun draws the same; copies of a vector count once
-        chosen = vectors.where(F.abs(F.xxhash64("vid", F.lit(cfg.seed)) % 1_000_000) < int(part * 1_000_000) + 1)
+        Rows with a null id, or a vector that is null, of another width, all zero or holding null, NaN or infinity, take
+        no part. Of an id with several vectors the newest counts, then the one with the greatest vid.
+        """
+        self.spark, self.width, self.floor, self.cfg, self.k, self.sign = df.sparkSession, width, floor, cfg or TreeConfig(), k, -1 if weakest else 1
+        at = F.col(newest) if newest else F.lit(0)
+        right = (F.size(vector) == width) & ~F.exists(vector, lambda v: v.isNull())
+        rows = df.where(F.col(id_col).isNotNull() & right).select(F.col(id_col).alias("id"), at.alias("at"), F.xxhash64(vector).alias("vid"), F.col(vector).cast("array<float>").alias("v"))
+        kinds = dict(rows.dtypes)
 
-        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                at = [i for i, v in enumerate(ids) if not (v in seen or seen.add(v))]
-                yield batch.take(pa.array(at, pa.int64()))
+                x = _rows_of(batch.column(3), width)
+                sound = np.flatnonzero(np.isfinite(x).all(1) & (x != 0).any(1))
+                vid = batch.column(2).to_numpy()[sound].tolist()
+                if len(seen) > 1_000_000:  # copies pass and are reduced in the cell's task
+                    seen.clear()
+                fresh = np.array([not (v in seen or seen.add(v)) for v in vid], bool)
+                packed = np.full(len(sound), None, object)
+                packed[fresh] = _pack(x[sound[fresh]])
+                keep = batch.take(pa.array(sound))
+                yield pa.RecordBatch.from_arrays([*keep.columns[:3], pa.array(packed.tolist(), pa.binary())], names=["id", "at", "vid", "vec"])
+
+        self.table = cut(rows.mapInArrow(store, f"id {kinds['id']}, at {kinds['at']}, vid bigint, vec binary"), "vectors")
+        picked = self.table.groupBy("id").agg(F.max(F.struct("at", "vid")).alias("p"))
+        self.ids = cut(picked.select("id", F.col("p.vid").alias("vid")), "vector-ids")
+        self.vectors = self.table.where("vec is not null").select("vid", "vec")
+        vids = self.ids.select("vid").distinct()
+        if newest and not self.table.select("vid").distinct().join(vids, "vid", "left_anti").isEmpty():
+            self.vectors = self.vectors.join(vids, "vid", "left_semi")  # vectors that no id has any longer
+        self.rows = self.vectors.count()
+        self.visits, self.recall = 0, 1.0
+        self.populations = np.zeros(0)
+        if self.rows:
+            self._fit()
 
-        drawn = chosen.mapInArrow(once, chosen.schema).toArrow()
+    def _fit(self) -> None:
+        cfg, width = self.cfg, self.width
+        want = min(cfg.sample, self.rows)
+        part = min(1.0, 1.2 * (want + cfg.probes) / self.rows + 1e-4)
+        # rows are drawn by their hash, so a rerun draws the same; copies of a vector count once
+        drawn = self.vectors.where(F.pmod(F.xxhash64("vid", F.lit(cfg.seed)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).toArrow()
         vid, first = np.unique(drawn["vid"].to_numpy(), return_index=True)
-        x = unit(_rows_of(drawn["v"].combine_chunks(), width))[first]
-        pick = np.random.default_rng(cfg.seed).permutation(len(x))[: want + cfg.probes]
-        x, vid = x[pick], vid[pick]
+        pick = np.random.default_rng(cfg.seed).permutation(len(vid))[: want + cfg.probes]
+        x, vid = unit(_unpack(drawn["vec"].take(pa.array(first[pick])).to_pylist(), width)), vid[pick]
         # where the sample is not all rows, the probes are kept out of the fit: a fitted vector draws its leaf's centre to itself
         fitted = min(want, max(len(x) - cfg.probes, (len(x) + 1) // 2)) if self.rows > want else len(x)
-        self.trees = fit_trees(x[:fitted], self.rows, cfg)
-        trees = spark.sparkContext.broadcast(self.trees)
-
-        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                _, at = np.unique(ids, return_index=True)
-                at = np.array([i for i in at.tolist() if ids[i] not in seen], np.int64)
-                if not len(at):
-                    continue
-                if len(seen) < 1_000_000:  # beyond it copies pass and are reduced in the cell's task
-                    seen.update(ids[at].tolist())
-                raw = _rows_of(batch.column(1), width)[at]
-                home = leaf_orders(trees.value, unit(raw), 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * home.shape[1]), pa.array(home.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists, pa.array(_pack(raw), pa.binary())], names=["vid", "home", "vec"])
-
-        self.table = cut(vectors.mapInArrow(index, "vid bigint, home array<int>, vec binary"), "vectors")
+        self.tree = fit_tree(x[:fitted], self.rows, cfg)
         asked = slice(fitted, fitted + cfg.probes) if fitted < len(x) else slice(cfg.probes)
         self._calibrate(x[asked], vid[asked])
+        _, cell = cells_of(self.tree, x, self.visits)
+        self.populations = np.bincount(cell, minlength=len(self.tree.cells)) * (self.rows / len(x))
 
     def _calibrate(self, queries: np.ndarray, vids: np.ndarray) -> None:
         """Scan all vectors for the best neighbours of the sampled queries; widen the visits until the target is reached."""
-        width, floor, k, cfg, sign = self.width, self.floor, self.k, self.cfg, self.sign
-        probe = self.spark.sparkContext.broadcast((queries, vids))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, qv = probe.value
-            best: list[tuple[np.ndarray, ...]] = []
-            count: dict[int, int] = {}
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for h, n in zip(*np.unique(batch.column(1).flatten().to_numpy(), return_counts=True), strict=True):
-                    count[int(h)] = count.get(int(h), 0) + int(n)
-                packed = batch.column(2).to_pylist()
-                sims = q @ unit(_unpack(packed, width)).T
-                sims[qv[:, None] == ids[None, :]] = -2
-                rank = np.where(sims >= floor, -sign * sims, np.float32(9))
-                top = np.argpartition(rank, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
-                s = np.take_along_axis(sims, top, axis=1)
-                r, c = np.nonzero(s >= floor)
-                hit = top[r, c]
-                best.append((r.astype(np.int32), ids[hit], s[r, c], np.ones(len(r), np.int64), [packed[i] for i in hit.tolist()]))
-            leaves, n = np.fromiter(count, np.int32, len(count)), np.fromiter(count.values(), np.int64, len(count))
-            sizes = (np.full(len(count), -1, np.int32), leaves.astype(np.int64), np.zeros(len(count), np.float32), n, [b""] * len(count))
-            parts = list(zip(*best, sizes, strict=True))
-            cols = [pa.array(np.concatenate(c)) for c in parts[:4]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([v for c in parts[4] for v in c], pa.binary())], names=["q", "vid", "s", "n", "vec"])
-
-        hits = self.table.mapInArrow(scan, "q int, vid bigint, s float, n bigint, vec binary").groupBy("q", "vid").agg(F.max("s").alias("s"), F.sum("n").alias("n"), F.max("vec").alias("vec"))
-        best = Window.partitionBy("q", F.when(F.col("q") < 0, F.col("vid"))).orderBy(-sign * F.col("s"), "vid")
-        raw = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).toArrow()  # at most probes x k rows, and one per leaf
-        q, ids, n = (raw[c].to_numpy() for c in ("q", "vid", "n"))
-        owner, tree_of = cell_of(self.trees)
-        cell_members = np.zeros(len(tree_of), np.int64)
-        np.add.at(cell_members, owner[ids[q < 0]], n[q < 0])
-        self.shares = {int(c): int(-(-m // cfg.share)) for c, m in enumerate(cell_members) if m > cfg.share}
-        some = q >= 0
-        other = unit(_unpack([v for v, k in zip(raw["vec"].to_pylist(), some, strict=True) if k], width)) if some.any() else queries[:0]
-        q = q[some]
-        home, own = leaf_orders(self.trees, other, 1), leaf_orders(self.trees, queries, 1)[q]
-        visits, most = 1, max(len(t.leaves) for t in self.trees)
+        cfg, most = self.cfg, len(self.tree.leaves)
+        raw = scanned(self, queries, vids).toArrow()  # at most probes x k rows
+        if not raw.num_rows:
+            self.visits, self.recall = min(4, most), 1.0
+            return
+        at = {v: i for i, v in enumerate(vids.tolist())}
+        mine = queries[[at[v] for v in raw["vid"].to_pylist()]]
+        other = unit(_unpack(raw["vec"].to_pylist(), self.width))
+        visits = 1
         while True:
-            if not len(q):
-                self.visits, self.recall = min(4, most), 1.0
-                return
-            # a pair is met if either visits the other's leaf
-            there, back = leaf_orders(self.trees, queries, visits)[q], leaf_orders(self.trees, other, visits)
-            met = np.zeros(len(q), bool)
-            for t in range(len(self.trees)):
-                met |= (there == home[:, t : t + 1]).any(1) | (back == own[:, t : t + 1]).any(1)
-            self.recall = float(met.mean())
+            a, b = (_cell_sets(self.tree, x, visits) for x in (mine, other))
+            self.recall = float((a & b).any(1).mean())
             if self.recall >= cfg.target or visits >= most:
                 self.visits = min(most, math.ceil(cfg.spare * visits))
                 return
             visits = min(most, visits + max(1, visits // 4))
 
-    def visit(self, work: Callable[..., tuple[np.ndarray, ...]], schema: str, names: list[str], coarse: bool = False, extra: DataFrame | None = None) -> DataFrame:
-        """Bring every vector to the cells it visits and apply work to one cell at a time.
+    def _divided(self, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Trees for the cells that outgrow the bound, level by level: (rows with their last cell, (cell, n) of the cells beyond a block)."""
+        cfg, width, visits, rest = self.cfg, self.width, self.visits, sent.columns[1:]
+        kinds = ", ".join(f"{c} {k}" for c, k in sent.dtypes)
+
+        def fit(key: tuple, t: pa.Table) -> pa.Table:
+            vid, first = np.unique(t["vid"].to_numpy(), return_index=True)
+            x = unit(_unpack(t["vec"].take(pa.array(first)).to_pylist(), width))
+            # as many leaves as the cell's own size asks for, the sample allowing
+            return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps(fit_tree(x, t["n"][0].as_py(), cfg))], pa.binary())})
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell, tree = None, None
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    if a == b:
+                        continue
+                    some = batch.slice(a, b - a)
+                    told = some.column(1).is_valid()
+                    if keys[a] != cell:  # a tree comes first, again with each salt
+                        cell, tree = keys[a], pickle.loads(some.column(1)[0].as_py())
+                    some = some.filter(pc.invert(told))
+                    if some.num_rows:
+                        x = unit(_unpack(some["vec"].to_pylist(), width))
+                        row, to = cells_of(tree, x, visits)
+                        with np.errstate(over="ignore"):
+                            name = (np.uint64(cell.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+                        take = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([pa.array((name ^ (name >> np.uint64(29))).view(np.int64)), *(some[c].take(take) for c in rest)], names=["cell", *rest])
+
+        rows, settled, before = cut(sent, "cells"), None, None
+        for level in range(8):
+            sizes = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cfg.refine), "large-cells")
+            now = sizes.agg(F.count("*"), F.max("n")).first()
+            if not now[0] or before is not None and now[1] > 0.8 * before:  # what no tree divides is left to the grid
+                break
+            before = now[1]
+            salts = F.ceil(F.col("n") / cfg.refine).cast("int")
+            sampled = rows.join(sizes, "cell").where(F.pmod(F.xxhash64("vid", F.lit(level)), F.col("n")) < cfg.part)
+            trees = sampled.select("cell", "vid", "vec", "n").groupBy("cell").applyInArrow(fit, "cell bigint, tree binary")
+            trees = trees.join(sizes, "cell").select("cell", "tree", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *[F.lit(None).cast(k).alias(c) for c, k in sent.dtypes[1:]])
+            large = rows.join(sizes, "cell").select("cell", F.lit(None).cast("binary").alias("tree"), F.pmod(F.xxhash64("vid", F.lit(level + 100)), salts).cast("int").alias("salt"), *rest)
+            small = rows.join(sizes, "cell", "left_anti")
+            settled = small if settled is None else settled.unionByName(small)
+            both = trees.unionByName(large).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("tree").isNull())
+            rows = cut(both.select("cell", "tree", *rest).mapInArrow(route, kinds), "cells")
+        rows = rows if settled is None else settled.unionByName(rows)
+        return rows, cut(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cfg.block), "large-cells")
+
+    def meet(self, work: Callable[..., tuple[np.ndarray, ...]], schema: str, names: list[str], extra: DataFrame | None = None) -> DataFrame:
+        """Bring every vector to the cells it visits and apply work to one block of a cell's grid at a time.
 
         extra: (vid, a number), one row for every vector; the numbers travel along and are work's last argument.
-        work(x, error, vid, home, query, leaf) gets the unit vectors of the cell's task (each vid once), how far each may
-        be from the true one (0, or little if coarse, when vectors travel in a byte a value), the home leaf of each (-1
-        where it only visits), and the visits as pairs (row, leaf); it returns the columns of its rows.
+        work(x, vid, side) gets the unit vectors of a block (each vid once); side is 0 in a block on the diagonal, whose
+        pairs all count, else 1 or 2: then the pairs across the sides count. It returns the columns of its rows.
         """
-        width, visits, shares = self.width, self.visits, self.shares
-        trees = self.spark.sparkContext.broadcast(self.trees)
+        width, visits, cfg = self.width, self.visits, self.cfg
+        tree = self.spark.sparkContext.broadcast(self.tree)
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            owner, tree_of = cell_of(trees.value)
             for batch in batches:
-                ids, vecs = batch.column(0).to_numpy(), batch.column(2)
-                homes = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-                x = unit(_unpack(vecs.to_pylist(), width))
-                seen = leaf_orders(trees.value, x, visits)
-                if coarse:
-                    vecs = pa.array(_pack_coarse(x), pa.binary())
-                # one row per vector and cell, with the leaves visited there
-                at, tree = np.nonzero(~(seen[:, None, :] == homes[:, :, None]).any(2))  # homes that further cells pushed out of the visits
-                row, leaf = np.concatenate([np.repeat(np.arange(len(ids)), seen.shape[1]), at]), np.concatenate([seen.ravel(), homes[at, tree]])
-                cell = owner[leaf]
-                by = np.lexsort((cell, row))
-                row, leaf, cell = row[by], leaf[by], cell[by]
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]))
-                row_, cells_ = row[first], cell[first].astype(np.int32)
-                mask = pa.ListArray.from_arrays(pa.array(np.append(first, len(leaf)).astype(np.int32)), pa.array(leaf.astype(np.int32)))
-                home = homes[row_, tree_of[cells_]]
-                home = np.where(owner[home] == cells_, home, -1).astype(np.int32)
-                share = np.zeros(len(row_), np.int32)
-                if shares:
-                    parts = np.array([shares.get(c, 1) for c in cells_.tolist()])
-                    rep = np.repeat(np.arange(len(row_)), parts)
-                    share = (np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
-                    row_, cells_, mask = row_[rep], cells_[rep], mask.take(pa.array(rep))
-                    home = np.where(ids[row_] % parts[rep] == share, home[rep], -1).astype(np.int32)
-                more = [batch.column(3).take(pa.array(row_))] if batch.num_columns > 3 else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells_), pa.array(share), pa.array(ids[row_]), pa.array(home), mask, vecs.take(pa.array(row_)), *more], names=["cell", "share", "vid", "home", "leaves", "vec", "extra"][: 6 + len(more)]
-                )
+                row, cell = cells_of(tree.value, unit(_unpack(batch.column(1).to_pylist(), width)), visits)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *(c.take(take) for c in batch.columns)], names=["cell", *batch.schema.names])
+
+        rows, kinds = self.vectors, "cell bigint, vid bigint, vec binary"
+        if extra is not None:
+            rows, kinds = rows.join(extra.toDF("vid", "extra"), "vid").select("vid", "vec", F.col("extra").cast("double")), kinds + ", extra double"
+        sent = rows.mapInArrow(spread, kinds)
+        if self.populations.max() > cfg.refine:
+            sent, large = self._divided(sent)
+        else:
+            found = [(int(c), int(n)) for c, n in enumerate(self.populations) if n > cfg.block]
+            large = F.broadcast(self.spark.createDataFrame(found, "cell bigint, n bigint")) if found else None  # at most a row per cell of the first levels
+        if large is None:
+            placed = sent.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *sent.columns[1:])
+        else:
+            groups = F.coalesce(F.ceil(F.col("n") / cfg.block), F.lit(1)).cast("int")
+            own = sent.join(large, "cell", "left").withColumn("g", groups).withColumn("u", F.pmod(F.xxhash64("vid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+            side = F.when(F.col("u") == F.col("o"), 0).when(F.col("u") < F.col("o"), 1).otherwise(2)
+            placed = own.select("cell", F.least("u", "o").alias("i"), F.greatest("u", "o").alias("j"), side.alias("side"), *sent.columns[1:])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -354,98 +331,106 @@ class VectorIndex:
             def finish() -> pa.RecordBatch:
                 t = pa.Table.from_batches(held)
                 held.clear()
-                vid = t["vid"].to_numpy()
-                _, at = np.unique(vid, return_index=True)
+                vid, at = np.unique(t["vid"].to_numpy(), return_index=True)
                 t = t.take(pa.array(at))
-                leaves = t["leaves"].combine_chunks()
-                packed = t["vec"].to_pylist()
-                x, error = _unpack_coarse(packed, width) if coarse else (unit(_unpack(packed, width)), np.zeros(len(packed), np.float32))
-                lens = leaves.value_lengths().to_numpy()
-                cols = work(x, error, vid[at], t["home"].to_numpy(), np.repeat(np.arange(len(at)), lens), leaves.flatten().to_numpy(), *([t["extra"].to_numpy()] if "extra" in t.column_names else []))
+                cols = work(unit(_unpack(t["vec"].to_pylist(), width)), vid, t["side"].to_numpy(), *([t["extra"].to_numpy()] if "extra" in t.column_names else []))
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
             at = None
             for batch in batches:
-                key = batch.column(0).to_numpy().astype(np.int64) * (1 << 31) + batch.column(1).to_numpy()
-                edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+                key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+                edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     if a == b:
                         continue
-                    if at is not None and key[a] != at and held:
+                    if held and tuple(key[a]) != at:
                         yield finish()
-                    at = key[a]
+                    at = tuple(key[a])
                     held.append(batch.slice(a, b - a))
             if held:
                 yield finish()
 
-        rows, sent_as = self.table, "cell int, share int, vid bigint, home int, leaves array<int>, vec binary"
-        if extra is not None:
-            rows, sent_as = rows.join(extra.toDF("vid", "extra"), "vid").select("vid", "home", "vec", F.col("extra").cast("double")), sent_as + ", extra double"
-        sent = rows.mapInArrow(spread, sent_as)
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(sum(len(t.cells) for t in self.trees), 2_000))
-        return sent.repartition(parts, "cell", "share").sortWithinPartitions("cell", "share").mapInArrow(run, schema)
+        # twice as many tasks as blocks, but not for a few rows each
+        blocks = sum(g * (g + 1) // 2 for g in np.ceil(self.populations / cfg.block).astype(int).tolist())
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks, math.ceil(self.populations.sum() / 2_000)))
+        return placed.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, schema)
 
-    def similarity(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) of pairs (a, b) of vids, from the vectors themselves."""
-        width = self.width
+    def close(self) -> None:
+        """Delete the tables; nothing may read the index or its results any more."""
+        drop(self.table, self.ids)
 
-        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (unit(_unpack(batch.column(i).to_pylist(), width)) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", x, y, dtype=np.float64))], names=["a", "b", "similarity"])
 
-        ends = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
-        vectors = self.table.select("vid", "vec").join(ends, "vid", "left_semi").groupBy("vid").agg(F.max("vec").alias("vec"))
-        both = pairs.join(vectors.select(F.col("vid").alias("a"), F.col("vec").alias("x")), "a").join(vectors.select(F.col("vid").alias("b"), F.col("vec").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint, similarity double")
+def scanned(index: VectorIndex, queries: np.ndarray, vids: np.ndarray) -> DataFrame:
+    """(vid, other, s, vec): of each query the k best (weakest, as the index says) neighbours at or above the floor, by a scan of all vectors. The queries go to every task."""
+    width, floor, k, sign = index.width, index.floor, index.k, index.sign
+    probe = index.spark.sparkContext.broadcast((queries, vids))
 
-    def close(self) -> None:
-        if self.table is not None:
-            drop(self.table)
-
-
-def by_leaf(home: np.ndarray, query: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(members, visitors) of each leaf that has both, as row numbers."""
-    own = np.argsort(home, kind="stable")
-    sorted_home = home[own]
-    order = np.argsort(leaf, kind="stable")
-    sorted_leaf = leaf[order]
-    for value in np.unique(sorted_leaf):
-        m = own[np.searchsorted(sorted_home, value) : np.searchsorted(sorted_home, value, side="right")]
-        if len(m):
-            yield m, query[order[np.searchsorted(sorted_leaf, value) : np.searchsorted(sorted_leaf, value, side="right")]]
-
-
-def _best(sims: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k best cols of each row at or above the floor, as pairs."""
-    some = np.flatnonzero((sims >= floor - 1e-5).any(1)) if sims.size else np.zeros(0, np.int64)
-    sims, rows = sims[some], rows[some]
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k] if len(cols) > k else np.broadcast_to(np.arange(len(cols)), sims.shape)
-    r, c = np.nonzero(np.take_along_axis(sims, top, axis=1) >= floor - 1e-5)
-    return rows[r], cols[top[r, c]]
-
-
-def _top(x: np.ndarray, error: np.ndarray, vid: np.ndarray, home: np.ndarray, query: np.ndarray, leaf: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
-    """The k best neighbours at or above the floor that each row has here, among the members of its leaves and the visitors of its home."""
-    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for m, v in by_leaf(home, query, leaf):
-        for a in range(0, len(v), 2_048):
-            rows = v[a : a + 2_048]
-            sims = x[rows] @ x[m].T
-            sims[rows[:, None] == m[None, :]] = -2
-            got.append(_best(sims, rows, m, k, floor))
-            guest = home[rows] != home[m[0]]
-            got.append(_best(sims[guest].T, m, rows[guest], k, floor))  # what a member sees of its visitors
-    a, b = (np.concatenate(c) for c in zip(*got, strict=True))
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65_536]], x[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536)] or [np.zeros(0)])
-    keep = exact >= floor
-    a, b, exact = a[keep], b[keep], exact[keep]
-    order = np.lexsort((vid[b], -exact, a))
-    a, b, exact = a[order], b[order], exact[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
-    a, b, exact = a[fresh], b[fresh], exact[fresh]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, qv = probe.value
+        for batch in batches:
+            ids, packed = batch.column(0).to_numpy(), batch.column(1)
+            for at in range(0, len(ids), 4_096):
+                own, x = ids[at : at + 4_096], unit(_unpack(packed.slice(at, 4_096).to_pylist(), width))
+                sims = q @ x.T
+                sims[qv[:, None] == own[None, :]] = -2
+                rank = np.where(sims >= floor - 1e-5, -sign * sims, np.float32(9))
+                top = np.argpartition(rank, k + 1, axis=1)[:, : k + 2] if sims.shape[1] > k + 2 else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+                r, c = np.nonzero(np.take_along_axis(sims, top, axis=1) >= floor - 1e-5)
+                c = top[r, c]
+                s = np.einsum("ij,ij->i", q[r], x[c], dtype=np.float64)
+                r, c, s = r[s >= floor], c[s >= floor], s[s >= floor]
+                yield pa.RecordBatch.from_arrays([pa.array(qv[r]), pa.array(own[c]), pa.array(s), packed.take(pa.array(c + at))], names=["vid", "other", "s", "vec"])
+
+    hits = index.vectors.mapInArrow(scan, "vid bigint, other bigint, s double, vec binary").repartition("vid").groupBy("vid", "other").agg(F.max("s").alias("s"), F.max("vec").alias("vec"))
+    best = Window.partitionBy("vid").orderBy(-sign * F.col("s"), "other")
+    return hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def linked(x: np.ndarray, side: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, similarity): the pairs of a block at or above the floor, each once, tile by tile."""
+    same = not len(side) or side[0] == 0
+    one, two = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    for p in range(0, len(one), 1_024):
+        r = one[p : p + 1_024]
+        for q in range(p if same else 0, len(two), 4_096):
+            c = two[q : q + 4_096]
+            s = x[r] @ x[c].T
+            i, j = np.nonzero(s >= floor)
+            a, b, s = r[i], c[j], s[i, j]
+            if same:
+                keep = a < b
+                a, b, s = a[keep], b[keep], s[keep]
+            yield a, b, s
+
+
+def exactly(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[a[i : i + 65_536]], x[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536))])
+
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, last: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k rows of each a with the greatest s, ties by the least last."""
+    order = np.lexsort((last, -s, a))
+    a, b, s = a[order], b[order], s[order]
     near = np.arange(len(a)) - np.searchsorted(a, a) < k
-    return vid[a[near]], vid[b[near]], exact[near]
+    return a[near], b[near], s[near]
+
+
+def _top(x: np.ndarray, vid: np.ndarray, side: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, ...]:
+    """The k best neighbours at or above the floor that each row has in a block."""
+    held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))], 0
+    for a, b, s in linked(x, side, floor - 1e-5):
+        held += [(a, b, s), (b, a, s)]
+        n += 2 * len(a)
+        if n > 4_000_000:
+            a, b, s = (np.concatenate(c) for c in zip(*held, strict=True))
+            held = [_best(a, b, s, b, k + 3)]
+            n = len(held[0][0])
+    a, b, s = (np.concatenate(c) for c in zip(*held, strict=True))
+    a, b, _ = _best(a, b, s, b, k + 3)  # more than k, as these similarities are in single precision
+    s = exactly(x, a, b)
+    keep = s >= floor
+    a, b, s = _best(a[keep], b[keep], s[keep], vid[b[keep]], k)
+    return vid[a], vid[b], s
 
 
 def neighbours(index: VectorIndex) -> DataFrame:
@@ -453,9 +438,9 @@ def neighbours(index: VectorIndex) -> DataFrame:
     k, floor = index.k, index.floor
     if not index.rows:
         return index.spark.createDataFrame([], "vid bigint, other bigint, similarity double, rank int")
-    found = index.visit(lambda *a: _top(*a, k=k, floor=floor), "vid bigint, other bigint, similarity double", ["vid", "other", "similarity"])
+    found = index.meet(lambda *a: _top(*a, k=k, floor=floor), "vid bigint, other bigint, similarity double", ["vid", "other", "similarity"])
     best = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
-    return found.groupBy("vid", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.repartition("vid").groupBy("vid", "other").agg(F.max("similarity").alias("similarity")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def similar_pairs(df: DataFrame, id_col: str, vector: str, k: int = 5, floor: float = 0.8, width: int = 128, newest: str | None = None, cfg: TreeConfig | None = None) -> DataFrame:
@@ -466,11 +451,10 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, k: int = 5, floor: fl
     similar, so a group of copies yields at most k rows per member and never all its pairs. No rows give no rows. Columns
     of the input other than those named are not read, so their names cannot clash.
     """
-    index = VectorIndex(df, vector, width, floor, cfg, k)
-    ids = keyed(df, id_col, vector, width, newest)
+    index = VectorIndex(df, id_col, vector, width, floor, cfg, k, newest=newest)
+    ids = index.ids
     if not index.rows:
         return df.sparkSession.createDataFrame([], "a string, b string, similarity double")
-    ids = cut(ids, "vector-ids")
     few = Window.partitionBy("vid").orderBy("id")
     # k + 1 ids suffice: a member leaves out itself
     first = ids.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -485,39 +469,29 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, k: int = 5, floor: fl
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def recall_of(index: VectorIndex, found: DataFrame, queries: DataFrame, block: int = 4_096) -> DataFrame:
-    """One row (queries, expected, met, recall): of the k best neighbours at or above the floor that a scan of all vectors
-    gives for the queries (vid), how many found (vid, other) holds in either direction.
-
-    The scan is exact and goes over all vectors once per `block` queries, which is also what a task is sent at a time.
-    With nothing to expect the recall is null.
-    """
-    spark, width, k, floor = index.spark, index.width, index.k, index.floor
-    held = index.table.join(queries.select("vid").distinct(), "vid", "left_semi").groupBy("vid").agg(F.max("vec").alias("vec"))
+def expected_links(index: VectorIndex, queries: DataFrame, block: int = 2_048) -> tuple[DataFrame, int]:
+    """((vid, other): what scanned() gives for the queries (vid), their number). The scan is exact and goes over all vectors once per `block` queries, which is also what a task is sent at a time."""
+    held = index.vectors.join(queries.select("vid").distinct(), "vid", "left_semi").groupBy("vid").agg(F.max("vec").alias("vec"))
     held = cut(held.select("vid", "vec"), "query-vectors")
     n = held.count()
     blocks = max(1, -(-n // block))
-    held = held.withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(blocks)))
     expected = None
     for b in range(blocks):
-        got = held.where(F.col("block") == b).toArrow()
-        sent = spark.sparkContext.broadcast((unit(_unpack(got["vec"].to_pylist(), width)), got["vid"].to_numpy()))
+        got = held.where(F.pmod(F.xxhash64("vid"), F.lit(blocks)) == b).toArrow()
+        if got.num_rows:
+            near = scanned(index, unit(_unpack(got["vec"].to_pylist(), index.width)), got["vid"].to_numpy()).select("vid", "other")
+            expected = near if expected is None else expected.unionByName(near)
+    return expected if expected is not None else index.spark.createDataFrame([], "vid bigint, other bigint"), n
+
+
+def recall_row(expected: DataFrame, n: int) -> DataFrame:
+    """One row (queries, expected, met, recall) of expected rows with `hit`, null where not met; with nothing to expect the recall is null."""
+    return expected.agg(F.lit(n).alias("queries"), F.count("*").alias("expected"), F.count("hit").alias("met"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q, vids = sent.value
-            for batch in batches:
-                ids, x = batch.column(0).to_numpy(), unit(_unpack(batch.column(1).to_pylist(), width))
-                sims = q @ x.T
-                sims[vids[:, None] == ids[None, :]] = -2
-                r, c = _best(sims, np.arange(len(q)), np.arange(len(ids)), k, floor)
-                s = np.einsum("ij,ij->i", q[r], x[c], dtype=np.float64)
-                ok = s >= floor
-                yield pa.RecordBatch.from_arrays([pa.array(vids[r[ok]]), pa.array(ids[c[ok]]), pa.array(s[ok])], names=["vid", "other", "s"])
 
-        near = index.table.select("vid", "vec").mapInArrow(scan, "vid bigint, other bigint, s double")
-        expected = near if expected is None else expected.unionByName(near)
-    best = Window.partitionBy("vid").orderBy(F.desc("s"), "other")
-    expected = expected.groupBy("vid", "other").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+def recall_of(index: VectorIndex, found: DataFrame, queries: DataFrame) -> DataFrame:
+    """recall_row of the links that a scan of all vectors gives for the queries (vid), met if found (vid, other) holds them in either direction."""
+    expected, n = expected_links(index, queries)
     pairs = found.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct().withColumn("hit", F.lit(1))
     both = expected.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).join(pairs, ["a", "b"], "left")
-    return both.agg(F.lit(n).alias("queries"), F.count("*").alias("expected"), F.count("hit").alias("met"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
+    return recall_row(both, n)
