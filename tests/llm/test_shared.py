@@ -78,12 +78,35 @@ def test_empty_table(spark):
     assert shared_spans(spark.createDataFrame([], "doc_id string, content string")).count() == 0
 
 
-def test_parse_is_local():
+def certain(text, left):
+    codes = S._codes(text)
+    p, low, high = S.parse(codes, S.Spelling(codes), np.zeros(len(codes), np.int64))
+    return {(int(x) - left, int(lo) - left, int(hi) - left) for x, lo, hi in zip(p[1:], np.minimum(low[1:], low[:-1]), np.maximum(high[1:], high[:-1]), strict=True)}
+
+
+def test_certain_boundaries_stand_in_every_context():
     rnd = random.Random(6)
-    core = prose(rnd, 600)
-    cuts = []
-    for left, right in ((prose(rnd, 333), prose(rnd, 222)), ("", prose(rnd, 5))):
-        codes = S._codes(left + core + right)
-        p = S.parse(codes, S.Spelling(codes), np.zeros(len(codes), np.int64)) - len(left)
-        cuts.append({int(x) for x in p if 120 <= x <= 480})
-    assert cuts[0] == cuts[1] and len(cuts[0]) > 10
+    hexes = "".join(rnd.choice("0123456789abcdef") for _ in range(90))
+    for core in (prose(rnd, 400), hexes * 2 + prose(rnd, 150), "-" * 70 + prose(rnd, 100) + "ab " * 60, "x" * 300, ("word " * 9 + hexes[:45]) * 5):
+        seen = []
+        for left, right in ((prose(rnd, 333), prose(rnd, 222)), ("", prose(rnd, 5)), (hexes, hexes), ("-" * 60, "ab ab"), (core, core)):
+            seen.append({b for b in certain(left + core + right, len(left)) if b[1] >= 0 and b[2] <= len(core)})
+        assert all(x == seen[0] for x in seen)
+
+
+def test_texts_of_one_symbol_and_of_few(spark):
+    rnd = random.Random(8)
+    few = "".join(rnd.choice("ab ") for _ in range(900))
+    rows = [("a", "=" * 450), ("b", "x" + "=" * 230 + "y"), ("c", "ab" * 300), ("d", "q" + "ab" * 120 + "r"), ("e", few), ("f", few[100:420] + "zz" + few[500:705])]
+    check(spark, rows)
+    got = {tuple(r)[:3] for r in shared_spans(spark.createDataFrame(rows, "doc_id string, content string"), most_sent=0).collect()}
+    assert got == brute(rows, 200)
+
+
+def test_texts_whose_numbers_collide(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(f"d{i}", prose(rnd, 400)) for i in range(6)]
+    rows.append(("e", rows[0][1][100:]))
+    hashed = S.F.xxhash64
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: S.F.lit(7).cast("bigint") if str(c[0]) == str(S.F.lit(0)) else hashed(*c))
+    check(spark, rows)

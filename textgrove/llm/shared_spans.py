@@ -5,15 +5,22 @@ a round merges runs of one symbol, then pairs whose left symbol falls into one h
 into the other, unless the result would exceed a length. A symbol is named by a hash of what it spells, so names are
 global without a dictionary, and halves are drawn from names: equal substrings get equal symbols except near their ends.
 
-1. Seeds. At each boundary p of the last round stand the seed (what the symbols around p spell, REACH each way) and the
-   window of `least` code points centred at p. Rows meet by seed; those of one record only are dropped.
-2. Windows equal in two records cover their stretch; this settles the inside of long spans.
+How near is not guessed: each symbol carries the stretch of text that its two boundaries depend on, through all rounds. A
+boundary whose symbols depend on nothing beyond REACH on either side is *certain*: wherever these 2 REACH code points
+stand, it stands. So a window of `least` code points has the same certain boundaries in every record that holds it, and:
+
+1. Each window is represented by that one of its certain boundaries whose surroundings have the least name (its seed), or,
+   if it has none, by itself. Only seeds that represent some window leave a record. Two records that share a window share
+   its seed, and a Spark aggregation by seed finds those that more than one record holds. Nothing is missed.
+2. At boundaries with such a seed the window centred there is compared: windows equal in two records cover their stretch;
+   this settles the inside of long spans.
 3. A boundary whose surroundings are not wholly covered is at the edge of a shared span, or of a short one. All records
    that hold its seed list every window around it, and equal windows meet. A position is shared exactly if it lies in a
    window that stands in another record, so the stretches come out exact, without comparing records in pairs.
 
-Windows are compared by 128 bits of hash. Groups of any size are reduced by least and greatest record in a window
-function; nothing is emitted per pair.
+Windows are compared by 128 bits of hash, and whole texts, of which exact copies are parsed once, by 128 bits of another.
+Groups of any size are reduced to their least and greatest record by partial aggregation; nothing is emitted per pair, and
+no group is sorted or held in one task.
 """
 
 from __future__ import annotations
@@ -24,16 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.intervals import covered_periods
 from ..session import cut, drop
 
-REACH = 60
+REACH = 52
 LONGEST = 40
-ROUNDS = 3
+ROUNDS = 2
 SEGMENT = 1_000_000
-MARGIN = 2_048
+MARGIN = 1_024
+FAR = 1 << 40  # beyond any text
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _TABLE: dict[str, np.ndarray] = {}
@@ -83,40 +90,72 @@ class Spelling:
             return _mix((s[end] - s[start]) * _powers(len(s), which)[1][start] + (end - start).astype(np.uint64))
 
 
-def parse(codes: np.ndarray, spelling: Spelling, owner: np.ndarray) -> np.ndarray:
-    """Starts of the last round's symbols; no symbol spans two owners (texts laid end to end)."""
+def parse(codes: np.ndarray, spelling: Spelling, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the last round's symbols, and the stretch [low, high) that each depends on; no symbol spans two owners (texts laid end to end).
+
+    A symbol at an end of its owner depends on what lies beyond it, so it is certain in no window. Equal symbols whose run
+    is too long to become one depend on the whole run: they count as certain in no window either.
+    """
     n = len(codes)
     if not n:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     word = _wordlike()[codes]
     inside = np.zeros(n, bool)
     inside[1:] = word[1:] & word[:-1] & (owner[1:] == owner[:-1])
     start = np.flatnonzero(~inside)
     length = np.diff(np.append(start, n))
-    if (length > LONGEST).any():  # a run too long to be a symbol is taken apart
-        far = np.repeat(length > LONGEST, length)
-        start = np.flatnonzero(~inside | far)
+    low, high = start - 1, start + length + 1
+    far = length > LONGEST
+    if far.any():  # a run too long to be a symbol is taken apart; so many of its code points show that it is too long
+        apart = np.repeat(far, length)
+        first, last = np.repeat(low, length), np.repeat(high, length)
+        start = np.flatnonzero(~inside | apart)
+        far, low, high = apart[start], first[start], last[start]
+        low[far] = np.maximum(low, start - LONGEST - 2)[far]
+        high[far] = np.minimum(high, start + LONGEST + 3)[far]
     kind = word[start]
-    for r in range(ROUNDS + 1):
+    of = owner[start]
+    edge = np.flatnonzero(of[1:] != of[:-1])
+    low[np.append(0, edge + 1)], high[np.append(edge, len(high) - 1)] = -FAR, FAR
+    end = np.append(start[1:], n)
+    name, alike = spelling.of(start, end), of[1:] == of[:-1]
+
+    def merged(head: np.ndarray) -> None:
+        """Symbols from each head up to the next; those of one symbol keep their name."""
+        nonlocal start, end, name, kind, of, alike, low, high
+        low, high = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head)
+        fresh = np.flatnonzero(np.diff(np.append(head, len(start))) > 1)
+        start, kind, of, name = start[head], kind[head], of[head], name[head]
         end = np.append(start[1:], n)
-        name = spelling.of(start, end)
-        # runs
+        name[fresh] = spelling.of(start[fresh], end[fresh])
+        alike = of[1:] == of[:-1]
+
+    for r in range(ROUNDS + 1):
+        # runs: whether two symbols are one run depends on both
+        before, after = np.where(alike, low[:-1], FAR), np.where(alike, high[1:], -FAR)
+        np.minimum(low[1:], before, out=before)
+        np.maximum(high[:-1], after, out=after)
+        low[1:], high[:-1] = before, after
         same = np.zeros(len(start), bool)
-        same[1:] = (name[1:] == name[:-1]) & (owner[start[1:]] == owner[start[:-1]])
+        same[1:] = (name[1:] == name[:-1]) & alike
         if same.any():
             head = np.flatnonzero(~same)
-            long = np.diff(np.append(start[head], n)) > LONGEST
-            same &= ~np.repeat(long, np.diff(np.append(head, len(start))))
-            start, kind = start[~same], kind[~same]
-            end = np.append(start[1:], n)
-            name = spelling.of(start, end)
+            many = np.diff(np.append(head, len(start)))
+            spread = np.repeat((np.diff(np.append(start[head], n)) > LONGEST) & (many > 1), many)
+            low[spread], high[spread] = -FAR, FAR
+            merged(np.flatnonzero(~same | spread))
         # pairs: in the first round a word takes what follows it
         with np.errstate(over="ignore"):
             right = ~kind if r == 0 else (_mix(name + np.uint64(r) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(40) & np.uint64(1)).astype(bool)
         join = np.zeros(len(start), bool)
-        join[1:] = ~right[:-1] & right[1:] & (end[1:] - start[:-1] <= LONGEST) & (owner[start[1:]] == owner[start[:-1]])
-        start, kind = start[~join], kind[~join]
-    return start
+        join[1:] = ~right[:-1] & right[1:] & (end[1:] - start[:-1] <= LONGEST) & alike
+        # a symbol that stays alone depends on the neighbour that it might have joined
+        before, after = np.where(alike & right[1:], low[:-1], FAR), np.where(alike & ~right[:-1], high[1:], -FAR)
+        np.minimum(low[1:], before, out=before)
+        np.maximum(high[:-1], after, out=after)
+        low[1:], high[:-1] = before, after
+        merged(np.flatnonzero(~join))
+    return start, low, high
 
 
 def _codes(text: str) -> np.ndarray:
@@ -146,25 +185,69 @@ def _laid(group: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return codes, np.repeat(np.arange(len(group)), size), begin, begin + size, np.array([g[1] for g in group]) - begin
 
 
+def _least(p: np.ndarray, name: np.ndarray, room: int) -> np.ndarray:
+    """Which positions p (ascending) have the least name in some range of `room` successive offsets; ties go to the first."""
+    chosen = np.ones(len(p), bool)
+    before, after = np.full(len(p), -FAR), np.full(len(p), FAR)
+    for side, found, sign in ((np.less_equal, before, -1), (np.less, after, 1)):
+        todo, step = np.arange(len(p)), 1
+        while len(todo):
+            to = todo + sign * step
+            ok = (to >= 0) & (to < len(p))
+            todo, to = todo[ok], to[ok]
+            ok = np.abs(p[to] - p[todo]) <= room
+            todo, to = todo[ok], to[ok]
+            hit = side(name[to], name[todo])
+            found[todo[hit]] = p[to[hit]]
+            todo, step = todo[~hit], step + 1
+    return chosen & (after - before > room)
+
+
 def _seeds(least: int):
-    half = least // 2
+    """(cid, text) -> (cid, pos, seed, win) of the seeds that represent a window; win is null where the window centred at pos is not whole."""
+    half, room = least // 2, least - 2 * REACH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            for group in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if len(met) > 1_000_000:
+                met.clear()
+            fresh = [not (c in met or met.add(c)) for c in ids]  # copies within a task are parsed once
+            for group in _pieces([c for c, f in zip(ids, fresh, strict=True) if f], [t for t, f in zip(texts, fresh, strict=True) if f]):
                 codes, owner, begin, end, shift = _laid(group)
                 spelling = Spelling(codes)
-                p = parse(codes, spelling, owner)
-                o = owner[p] if len(p) else np.zeros(0, np.int64)
-                low, high = np.array([g[3] for g in group])[o], np.array([g[4] for g in group])[o]
-                keep = (p - REACH >= begin[o]) & (p + REACH <= end[o]) & (p + shift[o] >= low) & (p + shift[o] < high)
-                p, o = p[keep], o[keep]
-                whole = (p - half >= begin[o]) & (p - half + least <= end[o])
-                a = np.where(whole, p - half, p)
-                window = spelling.of(a, np.where(whole, a + least, p)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array([g[0] for g in group], np.int64)[o]), pa.array(p + shift[o]), pa.array(spelling.of(p - REACH, p + REACH).view(np.int64)), pa.array(window, mask=~whole)], names=["cid", "pos", "seed", "win"]
-                )
+                p, low, high = parse(codes, spelling, owner)
+                # the symbols on both sides make a boundary
+                pair = owner[p[1:]] == owner[p[:-1]] if len(p) else np.zeros(0, bool)
+                lo, hi, p = np.minimum(low[1:], low[:-1])[pair], np.maximum(high[1:], high[:-1])[pair], p[1:][pair]
+                o = owner[p]
+                sure = (p - lo <= REACH) & (hi - p <= REACH) & (p - REACH >= begin[o]) & (p + REACH <= end[o])
+                p = p[sure]
+                o = owner[p]
+                apart = p + o * np.int64(4 * least)  # owners lie further apart than a window is long
+                name = spelling.of(p - REACH, p + REACH)
+                kept = _least(apart, name, room)
+                # windows without a certain boundary stand for themselves
+                edges = [np.sort(np.concatenate([begin - REACH - 1, end + REACH, p]))]
+                q = edges[0]
+                bare_low, bare_high = np.maximum(q[:-1] - REACH + 1, 0), q[1:] - (least - REACH)
+                some = bare_high > bare_low
+                first, many = bare_low[some], (bare_high - bare_low)[some]
+                t = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                t = t[(t + least <= len(codes))]
+                t = t[owner[t] == owner[np.minimum(t + least, len(codes)) - 1]]
+                at = np.concatenate([p[kept], t + half])
+                seed = np.concatenate([name[kept], spelling.of(t, t + least, 1)]).view(np.int64)
+                o = owner[at]
+                place = at + shift[o]
+                keep = (place >= np.array([g[3] for g in group])[o]) & (place < np.array([g[4] for g in group])[o])
+                at, seed, o, place = at[keep], seed[keep], o[keep], place[keep]
+                cid = np.array([g[0] for g in group], np.int64)[o]
+                whole = (at - half >= begin[o]) & (at - half + least <= end[o])
+                a = np.where(whole, at - half, at)
+                window = spelling.of(a, np.where(whole, a + least, at)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(place), pa.array(seed), pa.array(window, mask=~whole)], names=["cid", "pos", "seed", "win"])
 
     return run
 
@@ -225,37 +308,57 @@ def _windows(least: int):
     return run
 
 
-def _elsewhere(df: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key another record has too."""
-    by = Window.partitionBy(*key)
-    return df.withColumn("__a", F.min("cid").over(by)).withColumn("__b", F.max("cid").over(by)).where("__a <> __b").drop("__a", "__b")
+def _shared(df: DataFrame, *key: str) -> DataFrame:
+    """The keys that more than one record has, by partial aggregation."""
+    return df.groupBy(*key).agg(F.min("cid").alias("__a"), F.max("cid").alias("__b")).where("__a <> __b").select(*key)
+
+
+def _contents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, t) -> members (id, cid, length), each id once; and rows (id, cid, t).
+
+    Texts are the same if their 128-bit hashes are. cid is a 64-bit number for each; should two texts get one number, all
+    numbers are drawn anew.
+    """
+    for salt in range(64):
+        cid = F.xxhash64(F.lit(salt), "t")
+        named = rows.select("id", cid.alias("cid"), F.unhex(F.md5(F.encode("t", "UTF-8"))).alias("h"), F.length("t").cast("bigint").alias("length"))
+        members = cut(named.groupBy("id").agg(F.max(F.struct("cid", "h", "length")).alias("m")).select("id", "m.*"), "members")
+        if members.groupBy("cid").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+            break
+        drop(members)
+    return members, rows.select("id", cid.alias("cid"), "t")
 
 
-def shared_spans(records: DataFrame, id_col: str = "doc_id", text: str = "content", least: int = 200) -> DataFrame:
+def shared_spans(records: DataFrame, id_col: str = "doc_id", text: str = "content", least: int = 200, most_sent: int = 2_000_000) -> DataFrame:
     """(id, span_start, span_end, length): the maximal stretches of each record's text covered by substrings of at least
     `least` code points that stand identically in the text of a record with another id. length is that of the text.
 
-    Stretches that overlap or touch are one. Each id counts once: of several texts the greatest. Null ids and null texts
-    take no part; texts shorter than least share nothing. Records with equal texts are parsed once. `least` is at least
-    180, so that every shared window holds a boundary that is the same in both records.
+    Stretches that overlap or touch are one. Each id counts once: of several texts the one with the greatest hash. Null
+    ids and null texts take no part; texts shorter than least share nothing. Records with equal texts are parsed once.
+    `least` is at least 156. Seeds that several records hold, and the edges, are sent to all tasks if they are at most most_sent (8
+    bytes each), else joined.
     """
     if least < 3 * REACH:
         raise ValueError(f"least must be at least {3 * REACH}")
     rows = records.where(F.col(id_col).isNotNull() & (F.length(text) >= least)).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    members = cut(rows.select("id", F.xxhash64("t").alias("cid"), F.length("t").cast("bigint").alias("length")).groupBy("id").agg(F.max(F.struct("cid", "length")).alias("m")).select("id", "m.cid", "m.length"), "members")
-    kept = members.groupBy("cid").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("length").alias("length"))
-    kept = cut(kept, "contents")
-    texts = cut(rows.select("id", F.xxhash64("t").alias("cid"), "t").join(kept.select("id", "cid"), ["id", "cid"], "left_semi").dropDuplicates(["cid"]).select("cid", "t"), "texts")
-    seeds = texts.mapInArrow(_seeds(least), "cid bigint, pos bigint, seed bigint, win bigint")
-    shared = cut(_elsewhere(seeds, "seed"), "seeds")
-    full = shared.where("win is not null")
-    marked = cut(_elsewhere(full, "seed", "win").select("cid", "pos", "seed").withColumn("full", F.lit(True)).unionByName(shared.select("cid", "pos", "seed", F.lit(False).alias("full"))).groupBy("cid", "pos", "seed").agg(F.max("full").alias("full")), "marked")
-    drop(shared)
+    members, texts = _contents(rows)
+    kept = cut(members.groupBy("cid").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("length").alias("length")), "contents")
+    all_seeds = cut(texts.select("cid", "t").mapInArrow(_seeds(least), "cid bigint, pos bigint, seed bigint, win bigint"), "seeds")
+    found = cut(_shared(all_seeds, "seed"), "shared-seeds")
+    seeds = all_seeds.join(F.broadcast(found) if found.count() <= most_sent else found, "seed", "left_semi")
+    # a text that is not, or no longer, its id's is in no record
+    seeds = cut(seeds.join(kept.select("cid"), "cid", "left_semi").groupBy("cid", "pos").agg(F.first("seed").alias("seed"), F.first("win").alias("win")), "positions")
+    drop(all_seeds, found)
+    full = _shared(seeds.where("win is not null"), "seed", "win")
+    marked = cut(seeds.join(full.withColumn("full", F.lit(True)), ["seed", "win"], "left").select("cid", "pos", "seed", F.coalesce("full", F.lit(False)).alias("full")), "marked")
+    drop(seeds)
     per = marked.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("pos", "seed", "full"))).alias("at")).join(kept.select("cid", "length"), "cid")
     edges = per.select("cid", "at", "length").mapInArrow(_edges(least), "seed bigint").distinct()
-    around = marked.join(edges, "seed", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("at"))
-    windows = texts.join(around, "cid").select("cid", "t", "at").mapInArrow(_windows(least), "cid bigint, pos bigint, h0 bigint, h1 bigint")
-    exact = _elsewhere(windows, "h0", "h1").select("cid", F.col("pos").alias("s"))
+    around = cut(marked.join(edges, "seed", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("at")).join(kept.select("cid", "id"), "cid"), "edges")
+    sent = (around.agg(F.sum(F.size("at"))).first()[0] or 0) <= most_sent
+    windows = texts.join(F.broadcast(around) if sent else around, ["id", "cid"]).select("cid", "t", "at").mapInArrow(_windows(least), "cid bigint, pos bigint, h0 bigint, h1 bigint")
+    windows = cut(windows, "windows")
+    exact = windows.join(_shared(windows, "h0", "h1"), ["h0", "h1"], "left_semi").select("cid", F.col("pos").alias("s"))
     inside = marked.where("full").select("cid", (F.col("pos") - least // 2).alias("s"))
     stretches = covered_periods(exact.unionByName(inside).withColumn("e", F.col("s") + least), "cid", "s", "e")
     alone = members.join(kept.where("n = 1").select("cid"), "cid", "left_semi")
