@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textgrove.llm.leakage import Automaton, leaked_items, words
+from textgrove.llm.leakage import Automaton, leaked_items, leaked_spans, placed_words, without_leaks, words
 from textgrove.llm.packing import best_fit_decreasing, byte_tokens, lower_bound, pack
 from textgrove.llm.subjects import passages, subject_shares
 
@@ -64,14 +64,34 @@ def brute(tokens, items, least):
 def test_automaton(items, tokens):
     items = list(enumerate(items))
     a = Automaton(items, 3)
-    got = a.matches(tokens)
+    got = a.runs(tokens)
     assert set(got) == brute(tokens, items, 3)
-    for i, (longest, covered) in got.items():
+    for i, spans in got.items():
         grams = {tuple(items[i][1][k : k + 3]) for k in range(len(items[i][1]) - 2)}
         inside = {k + d for k in range(len(tokens) - 2) if tuple(tokens[k : k + 3]) in grams for d in range(3)}
-        assert covered == len(inside)
+        assert {k for a, b, _ in spans for k in range(a, b)} == inside and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
         runs = [n for n in range(3, 41) if any(tokens[k : k + n] == items[i][1][j : j + n] for k in range(len(tokens) - n + 1) for j in range(len(items[i][1]) - n + 1))]
-        assert longest == max(runs)
+        assert max(n for _, _, n in spans) == max(runs)
+
+
+def test_automaton_stays_small():
+    rnd = random.Random(1)
+    items = [(i, [str(rnd.randrange(3_000)) for _ in range(200)]) for i in range(60)]
+    a = Automaton(items, 12)
+    assert a.size() < 70 * 12_000 and set(a.runs(items[7][1])) == {7}
+
+
+def test_placed_words(sf):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t]
+    texts += ["caf\\'{e}-\n bar \\[ x \\] \\emph{do}ing na\u00adive stra\u00dfe \u0130x", "a-\r\n% b{c}d $$ y $$", "\x00a\x01b", ""]
+    for t in texts:
+        got, at = placed_words(t)
+        assert got == words(t) and all(a < b for a, b in at) and at == sorted(at)
+        for w, (a, b) in zip(got, at, strict=True):
+            if w != "\x00" and t[a:b].isalnum() and t[a:b].isascii():
+                assert t[a:b].lower() == w
 
 
 def test_leaks(spark):
@@ -82,6 +102,23 @@ def test_leaks(spark):
     got = {tuple(r) for r in leaked_items(d, e).select("doc_id", "item_id", "longest").collect()}
     assert got == {(i, j, 13) for i in (1, 3, None) for j in (10, 14)}
     assert leaked_items(d.limit(0), e).count() == leaked_items(d, e.limit(0)).count() == 0
+    parted = leaked_items(d, e, shard_bytes=40, most_sent=1).select("doc_id", "item_id", "longest")
+    assert {tuple(r) for r in parted.collect()} == got and parted.count() == len(got)
+
+
+def test_spans_and_removal(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = [(1, f"Before. {item.title()}, after"), (2, "keep red green blue white black grey end"), (3, "red green blue white"), (4, None), (5, ""), (1, "another text"), (None, f"{item} x"), (6, f"{item} {item}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(10, item), (11, "red green blue white black grey"), (12, None)], "item_id long, text string")
+    spans = {tuple(r)[:5] for r in leaked_spans(d, e, coverage=0.8).collect()}
+    n = len(item)
+    assert spans == {(1, 10, 8, 8 + n, 13), (2, 11, 5, 36, 6), (None, 10, 0, n, 13), (6, 10, 0, 2 * n + 1, 26)}
+    for more in ({}, {"shard_bytes": 10, "most_sent": 1}):
+        got = sorted(map(tuple, without_leaks(d, e, **more).collect()), key=repr)
+        want = [(1, "Before.  , after", n), (2, "keep   end", 31), (3, "red green blue white", 0), (4, None, 0), (5, "", 0), (1, "another text", 0), (None, f"{item} x", 0), (6, " ", 2 * n + 1)]
+        assert got == sorted(want, key=repr)
+    assert without_leaks(d.limit(0), e).count() == 0 and without_leaks(d, e.limit(0)).count() == len(docs)
 
 
 def test_passages():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .leakage import leaked_items
+from .leakage import leaked_items, leaked_spans, without_leaks
 from .packing import CAPACITY, byte_tokens, pack
 
 
@@ -44,7 +44,18 @@ def p7_items(spark: SparkSession, root: str) -> DataFrame:
     return _leaks(spark, root).groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(half).alias("half_or_more"), F.max("longest").alias("longest"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items}
+def p7_spans(spark: SparkSession, root: str) -> DataFrame:
+    """The stretches to be removed: at least 12 words long, or at least 80 % of an item of six words or more."""
+    spans = leaked_spans(table(spark, root, "documents"), table(spark, root, "eval_items"), least=12, coverage=0.8)
+    return spans.select("doc_id", "item_id", "span_start", "span_end", "words")
+
+
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's text without those stretches, as its hash, and how much was removed."""
+    return without_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", F.md5("text").alias("text"), "removed")
+
+
+QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned}
 SQL = {
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
 }
