@@ -17,7 +17,7 @@ _HEADING = re.compile(r"^[ \t]*((ARTICLE|Article)[ \t]+([IVXLCDM]+|\d+)\b.*|(?:S
 
 
 def letter_counts(texts: list[str]) -> list[list[float]]:
-    return [[float(t.lower().count(chr(i))) for i in range(97, 123)] for t in texts]
+    return [[float(low.count(chr(i))) for i in range(97, 123)] for low in map(str.lower, texts)]
 
 
 def first_sentences(texts: list[str], n: int = 2) -> list[str]:
@@ -69,7 +69,9 @@ def boundaries_by_headings(texts: list[str]) -> list[str]:
 def apply_model(df: DataFrame, text: str, model: Callable[[list[str]], list], out: str, kind: str, batch: int = 64, concurrency: int | None = None) -> DataFrame:
     """df with model(text) as column out, called with at most `batch` texts at a time; a null text gives null.
 
-    concurrency is the number of tasks that call the model at once; rows keep their keys, so no order is relied on.
+    concurrency, where given, is the number of tasks that call the model at once: for services that allow so many. The
+    answers are spread over all partitions again. Without it every partition calls; rows keep their keys, so no order is
+    relied on.
     """
     if concurrency:
         df = df.repartition(concurrency)
@@ -86,7 +88,8 @@ def apply_model(df: DataFrame, text: str, model: Callable[[list[str]], list], ou
                 values = [None if t is None else next(answers) for t in texts]
                 yield _with(b, out, values, kind)
 
-    return df.mapInArrow(run, schema)
+    said = df.mapInArrow(run, schema)
+    return said.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if concurrency else said
 
 
 def _with(batch: pa.RecordBatch, name: str, values: list, kind: str) -> pa.RecordBatch:

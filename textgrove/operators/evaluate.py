@@ -22,6 +22,14 @@ def disjointness(snippets: DataFrame) -> DataFrame:
     return spans(snippets, "test_id", "pos").withColumn("before", F.lag("e").over(by)).where("before >= s")
 
 
+def require_disjoint(snippets: DataFrame) -> DataFrame:
+    """snippets, if none of one test and file overlap or touch, else ValueError with the first violation."""
+    bad = disjointness(snippets).limit(1).collect()
+    if bad:
+        raise ValueError(f"snippets of test {bad[0]['test_id']} in {bad[0]['file_path']} overlap or touch at {bad[0]['s']}")
+    return snippets
+
+
 def rank_scores(hits: DataFrame) -> DataFrame:
     """(test_id, place, file_path, s, e, score): hits in order of rank, scored 1 / place. Repeated rows count once."""
     by = Window.partitionBy("test_id").orderBy("rank", "file_path", "s", "e")

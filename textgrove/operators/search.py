@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.models import Embedder, embed, letter_counts
 from ..functions.text import basename
 from ..functions.windows import letters, toc_udf
 from .vectors import child_topk
@@ -33,6 +34,35 @@ def locate_spans(chunks: DataFrame, contracts: DataFrame) -> DataFrame:
     return hit.select("chunk_id", F.col("path").alias("file_path"), "name", start.cast("bigint").alias("span_start"), (start + F.length("content")).cast("bigint").alias("span_end"))
 
 
+def search_children(queries: DataFrame, nodes: DataFrame, edges: DataFrame, embedder: Embedder = letter_counts, k: int = 5, threshold: float = 0.0) -> DataFrame:
+    """(query_id, pos, component_id, component_name, component_summary, component_leaf) for queries (query_id, id, query).
+
+    The k children of node id whose vectors are most similar to the query's vector, best first, above the threshold; an
+    empty summary gives way to the content. Ids that are no node, null queries and children without a vector give no rows.
+    """
+    asked = embed(queries.select("query_id", F.col("id").alias("parent"), "query"), "query", embedder, "q").select("query_id", "parent", "q")
+    chunks = nodes.where("label = 'Chunk'")
+    children = edges.where("type = 'CHILD'").select(F.col("src").alias("parent"), F.col("dst").alias("id")).join(chunks.select("id", F.col("vector").alias("v")), "id")
+    best = child_topk(children, asked, k, threshold).select("query_id", "id", F.col("rank").alias("pos"))
+    told = F.coalesce(F.nullif("summary", F.lit("")), "content")
+    return best.join(chunks.select("id", "name", told.alias("told"), "leaf"), "id").select("query_id", "pos", F.col("id").alias("component_id"), F.col("name").alias("component_name"), F.col("told").alias("component_summary"), F.col("leaf").alias("component_leaf"))
+
+
+def response_by_ids(asked: DataFrame, chunks: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(query_id, place, chunk_id, file_path, name, content, span_start, span_end) for asked (query_id, ids array).
+
+    Ids asked twice count once, unknown ones and those whose content is not found vanish; place is the order of the
+    first mention. chunks without doc_id are sought in every volume of their file; of several finds the first counts.
+    """
+    ids = asked.select("query_id", F.posexplode(F.array_distinct("ids")).alias("at", "chunk_id")).where("chunk_id is not null")
+    wanted = chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    placed = wanted if "doc_id" in chunks.columns else wanted.join(contracts.select("doc_id", "file_path"), "file_path").select("chunk_id", "doc_id", "name", "content")
+    found = locate_spans(placed, contracts).groupBy("chunk_id").agg(F.min(F.struct("span_start", "span_end", "file_path")).alias("r"))
+    told = wanted.groupBy("chunk_id").agg(F.min(F.struct("name", "content")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
+    return ids.join(found, "chunk_id").join(told, "chunk_id").withColumn("place", place).select("query_id", "place", "chunk_id", "r.file_path", "n.name", "n.content", "r.span_start", "r.span_end")
+
+
 def answers(snippets: DataFrame, contracts: DataFrame) -> DataFrame:
     """(test_id, pos, doc_id, answer): the text of each snippet, from the volume of the file that holds it wholly."""
     texts = contracts.select("doc_id", "file_path", "content", F.coalesce("file_offset", F.lit(0)).alias("at"), F.length("content").alias("n"))
@@ -41,17 +71,19 @@ def answers(snippets: DataFrame, contracts: DataFrame) -> DataFrame:
     return rows.select("test_id", "pos", "doc_id", F.substring("content", F.col("span.start") - F.col("at") + 1, F.col("span.end") - F.col("span.start")).alias("answer"))
 
 
-def answer_questions(questions: DataFrame, contracts: DataFrame, chunks: DataFrame, leaves: int = 2) -> DataFrame:
+def answer_questions(questions: DataFrame, contracts: DataFrame, chunks: DataFrame, leaves: int = 2, embedder: Embedder | None = None) -> DataFrame:
     """(test_id, place, chunk_id, file_path, span_start, span_end, score) for questions (test_id, query).
 
     All questions advance together, a round per join: the contracts whose name the question holds; their best top
-    component by cosine of letter counts; its best `leaves` children; their spans in the source; scores 1 / place.
+    component by cosine of the embedder's vectors (letter counts, as built-in functions, unless given); its best `leaves` children; their spans in the source; scores 1 / place.
     Questions without a matching contract, component or found span have no row.
     """
     stem = F.regexp_replace(F.regexp_replace(basename("file_path"), r"\.txt$", ""), "_", " ")
     named = contracts.select(F.col("doc_id").alias("parent"), stem.alias("phrase")).where("phrase is not null and phrase <> ''")
-    asked = questions.where("query is not null").select("test_id", F.regexp_extract("query", "^Consider (.*?);", 1).alias("phrase"), letters("query").alias("q"))
-    rows = chunks.select(F.coalesce("parent_id", "doc_id").alias("parent"), F.col("chunk_id").alias("id"), letters(F.coalesce(F.nullif("summary", F.lit("")), "content", F.lit(""))).alias("v"))
+    asked = questions.where("query is not null").select("test_id", F.regexp_extract("query", "^Consider (.*?);", 1).alias("phrase"), "query")
+    rows = chunks.select(F.coalesce("parent_id", "doc_id").alias("parent"), F.col("chunk_id").alias("id"), F.coalesce(F.nullif("summary", F.lit("")), "content", F.lit("")).alias("t"))
+    vector = lambda df, text, out: df.withColumn(out, letters(text)).drop(text) if embedder is None else embed(df, text, embedder, out).drop(text)
+    asked, rows = vector(asked, "query", "q"), vector(rows, "t", "v")
     first = child_topk(rows, asked.join(named, "phrase").select(F.col("test_id").alias("query_id"), "parent", "q"), 1)
     by_test = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     first = first.withColumn("r", F.row_number().over(by_test)).where("r = 1").select("query_id", F.col("id").alias("parent"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import found_at, model_json, newlines, split_at_marker
 from ..functions.windows import find_range, letters
-from ..operators import evaluate, graph, search, tree, vectors
-from ..session import shared_dir
+from ..functions.models import letter_counts
+from ..operators import agent, evaluate, graph, search, tree, vectors
+from ..session import cut, shared_dir
 from ..sources.tables import leaf_rows, table
 
 _K = 'k AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY summary IS NOT NULL DESC, ingested_at DESC) = 1)'
@@ -167,9 +168,19 @@ def subtree(spark: SparkSession, root: str) -> DataFrame:
 # graph
 
 
-@query("WITH " + _K + ", " + _C + " SELECT doc_id AS id, 'Corpus' AS label, string_split(file_path, '/')[-1] AS name, NULL::INT AS ord, 0 AS depth, false AS leaf FROM c UNION ALL SELECT chunk_id, 'Chunk', name, ord, depth, NOT EXISTS (SELECT 1 FROM k p WHERE p.parent_id = k.chunk_id) FROM k")
+_NODE = ["file_path", "toc_json", "content", "summary"]
+_ALL = ["doc_id", "file_path", "parent_id", "name", "ord", "depth", "content", "summary", "span"]
+
+
+@query(
+    "WITH " + _K + ", " + _C + """ SELECT doc_id AS id, 'Corpus' AS label, string_split(file_path, '/')[-1] AS name, md5(file_path) AS file_path, md5(toc_json) AS toc_json, md5(content) AS content, NULL::VARCHAR AS summary, NULL::INT AS span_start, NULL::INT AS span_end, NULL::INT AS ord, 0 AS depth, false AS leaf FROM c
+UNION ALL SELECT chunk_id, 'Chunk', k.name, md5(coalesce(k.file_path, c.file_path)), NULL, md5(k.content), md5(k.summary), CASE WHEN span."end" IS NOT NULL THEN least(span."start", span."end") END, CASE WHEN span."start" IS NOT NULL THEN greatest(span."start", span."end") END, ord, depth, NOT EXISTS (SELECT 1 FROM k p WHERE p.parent_id = k.chunk_id) FROM k LEFT JOIN c USING (doc_id)"""
+)
 def graph_nodes(spark: SparkSession, root: str) -> DataFrame:
-    return graph.nodes(_contracts(spark, root, "file_path"), _chunks(spark, root, "doc_id", "parent_id", "name", "ord", "depth"))
+    """All columns of the nodes but the vector, long texts as hashes."""
+    rows = graph.nodes(_contracts(spark, root, "file_path", "toc_json", "content"), _chunks(spark, root, *_ALL))
+    span = [F.get("span", F.lit(i)).alias(n) for i, n in enumerate(("span_start", "span_end"))]
+    return rows.select("id", "label", "name", *[F.md5(c).alias(c) for c in _NODE], *span, "ord", "depth", "leaf")
 
 
 @query("WITH " + _K + " SELECT coalesce(parent_id, doc_id) AS src, chunk_id AS dst, 'CHILD' AS type FROM k WHERE coalesce(parent_id, doc_id) IS NOT NULL")
@@ -294,11 +305,17 @@ def fence_extract(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    "WITH " + _C + ", j AS (SELECT doc_id, toc_json FROM c WHERE json_valid(toc_json) AND json_type(toc_json) = 'OBJECT'), x AS (SELECT doc_id, toc_json, unnest(json_keys(toc_json)) AS key, unnest(range(len(json_keys(toc_json)))) AS ord FROM j) SELECT doc_id AS contract_id, ord, key AS component_name, json_extract_string(toc_json, '$.\"' || key || '\".name') AS component_description, len(coalesce(json_keys(toc_json, '$.\"' || key || '\".sections'), [])) AS childs FROM x"
+    "WITH " + _C + """, j AS (SELECT doc_id, toc_json FROM c WHERE json_valid(toc_json) AND json_type(toc_json) = 'OBJECT'),
+x AS (SELECT doc_id, toc_json, unnest(json_keys(toc_json)) AS key, unnest(range(len(json_keys(toc_json)))) AS ord FROM j),
+y AS (SELECT *, json_extract(toc_json, '$."' || key || '".sections') AS inner_ FROM x),
+z AS (SELECT doc_id, ord, key, json_extract_string(toc_json, '$."' || key || '".name') AS description, unnest(coalesce(json_keys(inner_), [NULL])) AS child, unnest(CASE WHEN inner_ IS NULL OR len(json_keys(inner_)) = 0 THEN [0] ELSE range(len(json_keys(inner_))) END) AS child_ord, inner_ FROM y)
+SELECT doc_id AS contract_id, ord, key AS component_name, description AS component_description, child_ord, child AS child_name, CASE WHEN json_type(inner_, '$."' || child || '"') = 'VARCHAR' THEN json_extract_string(inner_, '$."' || child || '"') END AS child_description FROM z"""
 )
 def toc_components(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each child of each component; a component without children has one with nulls."""
     toc = search.corpus_toc(_contracts(spark, root, "toc_json"))
-    return toc.select("contract_id", "ord", "component_name", "component_description", F.size("childs").alias("childs"))
+    flat = toc.select("contract_id", "ord", "component_name", "component_description", F.posexplode_outer("childs").alias("child_ord", "c"))
+    return flat.select("contract_id", "ord", "component_name", "component_description", F.coalesce("child_ord", F.lit(0)).alias("child_ord"), F.col("c.component_name").alias("child_name"), F.col("c.component_description").alias("child_description"))
 
 
 @query()
@@ -348,3 +365,68 @@ SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY r) AS place, ch
 )
 def agent_end_to_end(spark: SparkSession, root: str) -> DataFrame:
     return search.answer_questions(table(spark, root, "tests").select("test_id", "query"), _contracts(spark, root, "file_path", "content", "file_offset"), _chunks(spark, root, "parent_id", "doc_id", "name", "summary", "content"))
+
+
+_SAID = "CASE WHEN coalesce(" + _TRIM.format("summary") + ", '') <> '' THEN summary ELSE content END"
+_NV = "CASE WHEN " + _TRIM.format(_SAID) + " <> '' THEN " + _letters_sql(f"coalesce({_SAID}, '')") + " END"
+_TOLD = "coalesce(nullif(summary, ''), content)"
+_QUERIED = f"asked AS (SELECT test_id, query, regexp_extract(query, '^Consider (.*?);', 1) AS phrase, {_letters_sql('query')} AS q FROM tests WHERE query IS NOT NULL), named AS (SELECT replace(regexp_replace(string_split(file_path, '/')[-1], '\\.txt$', ''), '_', ' ') AS phrase, min(doc_id) AS doc_id FROM c GROUP BY 1), rows0 AS MATERIALIZED (SELECT coalesce(parent_id, doc_id) AS parent, chunk_id AS id, name, {_TOLD} AS told, NOT EXISTS (SELECT 1 FROM k p WHERE p.parent_id = k.chunk_id) AS leaf, {_NV} AS v FROM k), rows_ AS MATERIALIZED (SELECT * FROM rows0 WHERE v IS NOT NULL), s1 AS (SELECT test_id, query, q, doc_id, id, name, told, list_cosine_similarity(v, q) AS score FROM asked JOIN named USING (phrase) JOIN rows_ ON parent = doc_id WHERE phrase <> ''), b1 AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY round(score, 9) DESC, id) AS pos FROM s1 WHERE score > 0 AND NOT isnan(score)), s2 AS (SELECT test_id, q, r.id, r.name, r.told, r.leaf, list_cosine_similarity(v, q) AS score FROM b1 JOIN rows_ r ON r.parent = b1.id WHERE pos = 1), b2 AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY round(score, 9) DESC, id) AS pos FROM s2 WHERE score > 0 AND NOT isnan(score))"
+
+
+def _graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of the chunks with the default embedder's vectors, written and read back."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    chunks = _chunks(spark, root, *_ALL)
+    nodes = graph.with_vectors(graph.nodes(_contracts(spark, root, "file_path", "toc_json", "content"), chunks), letter_counts, 1_000)
+    graph.write_graph(nodes, graph.child_edges(chunks).unionByName(graph.sibling_edges(chunks)), path)
+    return graph.read_graph(spark, path)
+
+
+def _first_components(spark: SparkSession, root: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every question about a contract, asked of the contract's components."""
+    names = nodes.where("label = 'Corpus'").select("id", F.regexp_replace(F.regexp_replace("name", r"\.txt$", ""), "_", " ").alias("phrase")).groupBy("phrase").agg(F.min("id").alias("id"))
+    asked = table(spark, root, "tests").where("query is not null").withColumn("phrase", F.regexp_extract("query", "^Consider (.*?);", 1)).where("phrase <> ''")
+    return search.search_children(asked.join(names, "phrase").select(F.col("test_id").alias("query_id"), "id", "query"), nodes, edges)
+
+
+@query("WITH " + _K + ", " + _C + ", " + _QUERIED + " SELECT test_id, pos, id AS component_id, name AS component_name, md5(told) AS component_summary FROM b1 WHERE pos <= 5")
+def search_component(spark: SparkSession, root: str) -> DataFrame:
+    found = _first_components(spark, root, *_graph(spark, root))
+    return found.select(F.col("query_id").alias("test_id"), "pos", "component_id", "component_name", F.md5("component_summary").alias("component_summary"))
+
+
+@query("WITH " + _K + ", " + _C + ", " + _QUERIED + " SELECT test_id, pos, id AS sub_component_id, name AS sub_component_name, md5(told) AS sub_component_summary, leaf AS sub_component_leaf FROM b2 WHERE pos <= 5")
+def search_sub_component(spark: SparkSession, root: str) -> DataFrame:
+    """The same questions, asked of the best component's children."""
+    nodes, edges = _graph(spark, root)
+    first = cut(_first_components(spark, root, nodes, edges).where("pos = 1").select("query_id", F.col("component_id").alias("id")), "asked")
+    asked = first.join(table(spark, root, "tests").select(F.col("test_id").alias("query_id"), "query"), "query_id")
+    found = search.search_children(asked, nodes, edges)
+    return found.select(F.col("query_id").alias("test_id"), "pos", *[F.col(f"component_{n}").alias(f"sub_component_{n}") for n in ("id", "name")], F.md5("component_summary").alias("sub_component_summary"), F.col("component_leaf").alias("sub_component_leaf"))
+
+
+@query(
+    "WITH " + _K + ", " + _C + ", a AS (SELECT coalesce(parent_id, doc_id) AS query_id, chunk_id, row_number() OVER (PARTITION BY coalesce(parent_id, doc_id) ORDER BY chunk_id DESC) AS nth FROM k), h AS (SELECT query_id, nth, chunk_id, c.file_path, k.name, k.content, strpos(c.content, k.content) - 1 + coalesce(file_offset, 0) AS s FROM a JOIN k USING (chunk_id) JOIN c USING (doc_id) WHERE query_id IS NOT NULL AND k.content IS NOT NULL AND strpos(c.content, k.content) > 0) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY nth) AS place, chunk_id, file_path, name, md5(content) AS content, s::BIGINT AS span_start, (s + length(content))::BIGINT AS span_end FROM h"
+)
+def response_by_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Each parent asks for its children, the last id first, each twice, and for an unknown one."""
+    chunks = _chunks(spark, root, "parent_id", "doc_id", "name", "content")
+    ids = F.sort_array(F.collect_list("chunk_id"), asc=False)
+    asked = chunks.groupBy(F.coalesce("parent_id", "doc_id").alias("query_id")).agg(F.concat(ids, F.array(F.lit("unknown")), ids).alias("ids")).where("query_id is not null")
+    found = search.response_by_ids(asked, chunks.select("chunk_id", "doc_id", "name", "content"), _contracts(spark, root, "file_path", "content", "file_offset"))
+    return found.withColumn("content", F.md5("content"))
+
+
+@query(
+    "WITH " + _K + ", " + _C + ", " + _QUERIED + """, pick AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY pos) AS nth FROM b2 WHERE pos <= 5 AND leaf AND test_id IN (SELECT test_id FROM b2 WHERE pos = 1 AND leaf)),
+vol AS (SELECT k.chunk_id, k.name, k.content, coalesce(k.file_path, c.file_path) AS file_path FROM k LEFT JOIN c USING (doc_id)),
+hit AS (SELECT test_id, nth, p.id AS chunk_id, v.file_path, v.name, min(strpos(c.content, v.content) - 1 + coalesce(file_offset, 0)) AS s, any_value(length(v.content)) AS n FROM pick p JOIN vol v ON v.chunk_id = p.id JOIN c USING (file_path) WHERE nth <= 2 AND v.content IS NOT NULL AND strpos(c.content, v.content) > 0 GROUP BY ALL)
+SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY nth) AS place, file_path, name, s::BIGINT AS span_start, (s + n)::BIGINT AS span_end, 1.0::DOUBLE / row_number() OVER (PARTITION BY test_id ORDER BY nth) AS score FROM hit"""
+)
+def agent_rounds(spark: SparkSession, root: str) -> DataFrame:
+    """The tool loop with the stepwise policy over the written graph: the spans that its response calls gave."""
+    nodes, edges = _graph(spark, root)
+    tools = agent.graph_tools(nodes, edges, _contracts(spark, root, "file_path", "content", "file_offset"))
+    log = agent.run_rounds(table(spark, root, "tests").select("test_id", "query"), tools, agent.stepwise_policy(), budget=5)
+    return agent.responses(log)
+
