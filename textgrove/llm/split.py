@@ -4,7 +4,7 @@ Boundaries are the ends of gaps (maximal runs of space, tab, CR and LF), of thre
 gap right after one of . ! ? ;, any gap. Two ways of placing the cuts share them:
 
 balanced    the least number of pieces that the limit and the overlap allow, targets at equal distances, each snapped to
-            the strongest boundary near it, and one piece more whenever a piece would exceed the limit;
+            the strongest boundary near it, and a piece more where the limit would else be exceeded;
 sequential  from the front, each piece ends at the strongest boundary in the second half of its room, at the last one of
             that strength, or at the limit.
 """
@@ -56,34 +56,30 @@ def sequential_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, in
 
 
 def balanced_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Pieces of nearly equal length: see the module's text. A target may move by half the slack that the limit leaves."""
-    n = len(text)
-    if n <= limit:
-        return [(0, n)]
-    kinds, step = boundaries(text), limit - overlap
-    count = math.ceil((n - overlap) / step)
-    while True:
-        length = (n + (count - 1) * overlap) / count  # of each piece, before snapping
-        room = max(0, int(limit - length))  # within which a cut may move later; as much earlier
-        out, s = [], 0
-        for i in range(1, count):
-            target = round(i * (length - overlap)) + overlap
-            low, high = max(s + overlap + 1, target - max(room, limit // 4)), min(s + limit, target + room, n - 1)
-            end = min(max(target, low), high)
-            for kind in kinds:
-                a, b = bisect_left(kind, low), bisect_right(kind, high)
-                if a < b:
-                    end = min(kind[a:b], key=lambda p: (abs(p - target), p))
-                    break
-            if end <= s + overlap or end > s + limit:
+    """Pieces of nearly equal length: see the module's text.
+
+    The targets are those of the text that is left, so a cut that falls early shifts the ones after it, and a piece is
+    added only where those would exceed the limit. A cut may fall later than its target by the slack that the limit
+    leaves, and earlier by as much or by a quarter of the limit. The work is linear in the text.
+    """
+    n, s, out = len(text), 0, []
+    kinds = boundaries(text) if n > limit else []
+    while n - s > limit:
+        count = math.ceil((n - s - overlap) / (limit - overlap))
+        length = (n - s + (count - 1) * overlap) / count
+        room = max(0, int(limit - length))
+        target = s + round(length)
+        low, high = max(s + overlap + 1, target - max(room, limit // 4)), min(s + limit, target + room)
+        end = target
+        for kind in kinds:
+            a, b = bisect_left(kind, low), bisect_right(kind, high)
+            if a < b:
+                i = bisect_left(kind, target, a, b)
+                end = min(kind[max(a, i - 1) : min(b, i + 1)], key=lambda p: (abs(p - target), p))
                 break
-            out.append((s, end))
-            s = end - overlap
-        if len(out) == count - 1 and n - s <= limit:
-            return [*out, (s, n)]
-        count += 1
-        if count > n:
-            return sequential_pieces(text, limit, overlap)
+        out.append((s, end))
+        s = end - overlap
+    return [*out, (s, n)]
 
 
 def split_oversized(items: DataFrame, id_col: str = "item_id", text: str = "text", offset: str = "offset", limit: int = 1_200, overlap: int = 120, method: str = "balanced") -> DataFrame:
