@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.tables import table
 from .leakage import leaked_items, leaked_spans, without_leaks
 from .packing import CAPACITY, byte_tokens, pack
+from .reference_sql import P6_CHECKS, P7_FOUND
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
@@ -30,6 +32,16 @@ def p6_fill(spark: SparkSession, root: str) -> DataFrame:
     return total.select("containers", F.ceil(F.col("tokens") / CAPACITY).alias("least"), (1 - F.col("tokens") / (F.col("containers") * CAPACITY)).alias("unused"))
 
 
+def p6_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What the packing must keep: every document and token, no container over its capacity, no cut of a text that fits."""
+    packed = cut(_packed(spark, root), "packing")
+    whole = packed.agg(F.countDistinct("id").alias("documents"), F.sum("size").alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("size") < CAPACITY) & (F.col("piece") < F.col("pieces") - 1)).alias("cut"))
+    over = packed.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).alias("over"))
+    names = {"documents": "documents", "tokens": "tokens", "over capacity": "over", "cut without need": "cut"}
+    rows = F.array(*[F.struct(F.lit(k).alias("what"), F.col(v).cast("bigint").alias("n")) for k, v in names.items()])
+    return whole.crossJoin(over).select(F.explode(rows).alias("r")).select("r.*")  # one row each
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"), least=12)
 
@@ -55,7 +67,9 @@ def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return without_leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", F.md5("text").alias("text"), "removed")
 
 
-QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned}
+QUERIES = {"p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_checks": p6_checks, "p7_found": p7_found, "p7_items": p7_items, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned}
 SQL = {
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
+    "p6_checks": P6_CHECKS,
+    "p7_found": P7_FOUND,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .reference_sql import P2_AMOUNT, P2_FOUND
 from .shared_spans import shared_spans
 
 
@@ -21,4 +22,4 @@ def p2_amount(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_amount": p2_amount}
-SQL: dict[str, str] = {}
+SQL = {"p2_found": P2_FOUND, "p2_amount": P2_AMOUNT}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources.tables import leaf_rows, read_right_way, table
+from .reference_sql import P1_CHECKS, P1_FOUND
 from .split import split_oversized
 
 LIMIT, OVERLAP = 1_200, 120
@@ -41,5 +43,17 @@ def p1_balanced(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(long_items(spark, root), limit=LIMIT, overlap=OVERLAP, method="balanced")
 
 
-QUERIES = {"p1_found": p1_found, "p1_balanced": p1_balanced}
-SQL: dict[str, str] = {}
+def p1_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What the balanced pieces must keep: the items, all their text, and no piece over the limit or with another overlap."""
+    pieces = p1_balanced(spark, root)
+    by = Window.partitionBy("item_id").orderBy("piece_start")
+    seen = pieces.withColumn("before", F.lag("piece_end").over(by))
+    size = F.col("piece_end") - F.col("piece_start")
+    per = seen.groupBy("item_id").agg(F.sum(size - F.when(F.col("before").isNull(), 0).otherwise(OVERLAP)).alias("n"), F.count_if(size > LIMIT).alias("over"), F.count_if(F.col("before") - F.col("piece_start") != OVERLAP).alias("lap"), (F.max("piece_end") - F.min("piece_start")).alias("extent"))
+    total = per.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"), F.coalesce(F.sum("over"), F.lit(0)).alias("over"), F.coalesce(F.sum("lap"), F.lit(0)).alias("lap"), F.count_if(F.col("n") != F.col("extent")).alias("short"))
+    names = {"items": "items", "code points": "points", "over the limit": "over", "wrong overlap": "lap", "items short": "short"}
+    return total.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(v).cast("bigint").alias("n")) for k, v in names.items()])).alias("r")).select("r.*")
+
+
+QUERIES = {"p1_found": p1_found, "p1_balanced": p1_balanced, "p1_checks": p1_checks}
+SQL = {"p1_found": P1_FOUND, "p1_checks": P1_CHECKS}
