@@ -9,7 +9,7 @@ from ..session import cut
 from ..sources.tables import table
 from .leakage import leaked_items, leaked_spans, without_leaks
 from .packing import CAPACITY, byte_tokens, pack
-from .reference_sql import P6_CHECKS, P7_FOUND
+from .reference_sql import P6_CHECKS, P7_FOUND, P7_ITEMS
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
@@ -72,4 +72,5 @@ SQL = {
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
     "p6_checks": P6_CHECKS,
     "p7_found": P7_FOUND,
+    "p7_items": P7_ITEMS,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .density import CONFIG, density_clusters, linked_clusters, reachability_forest
-from .reference_sql import P3_FOUND, P5_FOUND
+from .reference_sql import P3_FOUND, P3_RECALL, P5_FOUND, P5_RECALL
 from .vector_tree import VectorIndex, expected_links, neighbours, recall_of, recall_row, similar_pairs
 
 
@@ -51,4 +51,4 @@ def p5_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_recall": p3_recall, "p5_found": p5_found, "p5_recall": p5_recall, "p5_clusters": p5_clusters}
-SQL = {"p3_found": P3_FOUND, "p5_found": P5_FOUND}
+SQL = {"p3_found": P3_FOUND, "p3_recall": P3_RECALL, "p5_found": P5_FOUND, "p5_recall": P5_RECALL}
