@@ -86,3 +86,10 @@ def test_stream_across_blocks(spark, tmp_path):
             net[gap] = net.get(gap, 0) + (1 if r["open"] else -1)
         assert {g for g, c in net.items() if c} == brute([r for b in batches[: i + 1] for r in b])[1] and set(net.values()) <= {0, 1}
     q.stop()
+
+
+def test_one_interval_of_any_length(spark):
+    rows = [("a", -5, 1 << 60), ("a", 7, 9), ("b", 0, 3), ("b", 1 << 50, (1 << 50) + 4)]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    assert {tuple(r) for r in covered_periods(df, "k", "s", "e").collect()} == {("a", -5, 1 << 60), ("b", 0, 3), ("b", 1 << 50, (1 << 50) + 4)}
+    assert {tuple(r) for r in covered_gaps(df, "k", "s", "e").collect()} == {("b", 3, 1 << 50)}

@@ -16,13 +16,23 @@ from pyspark.sql import types as T
 _WORD = re.compile(r"\S+")
 
 
+def _common(at_letter: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of text and a string of n characters, given as a bit mask of places per character."""
+    row = full = (1 << n) - 1
+    for c in text:
+        hit = row & at_letter.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return n - row.bit_count()
+
+
 def best_window(content: str | None, target: str | None) -> tuple[int, int, float]:
     """(start, end, score) of the window of as many words as target has that is most similar to it; the earliest of equals.
 
     No words in target, or an empty or null content: (0, 0, 0.0). A target of more words than content: (0, 0, -1.0).
     Similarity is twice the matched characters by the characters of both (SequenceMatcher, the target first). An equal
-    window is looked for first; the others are compared in order of the score that their letters would allow, as long as
-    that is not below the best one.
+    window is looked for first; the others come in order of the score that their letters would allow, as long as that is
+    not below the best one. A window is compared only if its longest common subsequence, of which the matched characters
+    are one, allows the best score too.
     """
     content, wanted = content or "", _WORD.findall(target or "")
     if not wanted or not content:
@@ -51,14 +61,24 @@ def best_window(content: str | None, target: str | None) -> tuple[int, int, floa
     possible = 2.0 * common / (len(goal) + end - begin)
     matcher = SequenceMatcher(None)
     matcher.set_seq1(goal)
+    at_letter: dict[str, int] = {}
+    for i, c in enumerate(goal):
+        at_letter[c] = at_letter.get(c, 0) | 1 << i
     best, where = -1.0, -1
-    for i in np.argsort(-possible, kind="stable").tolist():
-        if possible[i] < best:
+    order = np.argsort(-possible, kind="stable").tolist()
+    for first in range(0, len(order), 64):
+        some = [i for i in order[first : first + 64] if possible[i] >= best]
+        if not some:
             break
-        matcher.set_seq2(low[begin[i] : end[i]])
-        score = matcher.ratio()
-        if score > best or (score == best and i < where):
-            best, where = score, i
+        texts = {i: low[begin[i] : end[i]] for i in some}
+        bound = {i: 2.0 * _common(at_letter, len(goal), t) / (len(goal) + len(t)) for i, t in texts.items()}
+        for i in sorted(some, key=lambda i: -bound[i]):
+            if bound[i] < best:
+                break
+            matcher.set_seq2(texts[i])
+            score = matcher.ratio()
+            if score > best or (score == best and i < where):
+                best, where = score, i
     return int(begin[where]), int(end[where]), best
 
 

@@ -73,10 +73,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _block_for(rows: DataFrame, block: int) -> int:
+    """The block, or the least of its multiples by powers of 8 with which the intervals' parts come to at most 8 a row and a million in all: intervals may be of any length."""
+    sizes = [block * 8**i for i in range(20) if block * 8**i < 1 << 62]
+    parts = lambda b: F.sum((F.floor((F.col("__e0") - 1) / F.lit(b)) - F.floor(F.col("__s0") / F.lit(b)) + 1).cast("double"))
+    counted = rows.agg(F.count("*").alias("n"), *[parts(b).alias(f"b{i}") for i, b in enumerate(sizes)]).first()
+    return next((b for i, b in enumerate(sizes) if (counted[f"b{i}"] or 0) <= 8 * counted["n"] + 1_000_000), sizes[-1])
+
+
 def stretches(df: DataFrame, key: str, start: str, end: str, block: int = BLOCK) -> DataFrame:
     """Disjoint stretches per key and block; see the module's text. Rows with a null key, start or end, and empty intervals, are left out."""
     s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
     rows = df.select(F.col(key).cast("string").alias("__key"), s.alias("__s0"), e.alias("__e0")).where("__key is not null and __s0 < __e0")
+    block = _block_for(rows, block)
     first, last = F.floor(F.col("__s0") / F.lit(block)).cast("bigint"), F.floor((F.col("__e0") - 1) / F.lit(block)).cast("bigint")
     rows = rows.withColumn("__block", F.explode(F.sequence(first, last)))
     rows = rows.groupBy("__key", "__block", F.greatest("__s0", F.col("__block") * block).alias("__s")).agg(F.max(F.least("__e0", (F.col("__block") + 1) * block)).alias("__e"))
