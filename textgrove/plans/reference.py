@@ -322,13 +322,13 @@ def toc_components(spark: SparkSession, root: str) -> DataFrame:
 def fuzzy_window(spark: SparkSession, root: str) -> DataFrame:
     """Where each leaf stands in its contract, from the window of its first sentence to that of its last, with their scores.
 
-    Of every 16th leaf, by the hash of its id, both sentences are altered (each e written as a), so that the windows of
-    the whole contract are compared and scored. The window similarity has no SQL form.
+    Of every 16th leaf, by the hash of its id, both sentences are altered (the first e written as a, as a model may
+    misquote a word), so that the windows of the whole contract are compared and scored. The similarity has no SQL form.
     """
     leaves = leaf_rows(table(spark, root, "chunks"), "doc_id", "content").where("content is not null").dropDuplicates(["chunk_id"])
     said = F.split(F.regexp_replace(newlines("content"), r"^\s+|\s+$", ""), r"(?<=\.)\s+")
     wanted = leaves.select("chunk_id", "doc_id", (F.pmod(F.xxhash64("chunk_id"), F.lit(16)) == 0).alias("altered"), F.element_at(said, 1).alias("first"), F.element_at(said, -1).alias("last"))
-    target = {c: F.when(F.col("altered"), F.translate(c, "eE", "aA")).otherwise(F.col(c)) for c in ("first", "last")}
+    target = {c: F.when(F.col("altered"), F.regexp_replace(c, "^([^eE]*)[eE]", "$1a")).otherwise(F.col(c)) for c in ("first", "last")}
     # rows, not contracts, are the unit of work: a long contract is searched by many tasks
     pairs = wanted.withColumns(target).join(_contracts(spark, root, "content"), "doc_id").repartition(F.col("chunk_id"))
     found = pairs.select("chunk_id", "altered", find_range(newlines("content"), "first", "last").alias("w"))
