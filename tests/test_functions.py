@@ -2,9 +2,12 @@ from difflib import SequenceMatcher
 import random
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textgrove.functions import text as X
+from textgrove.functions import windows
 from textgrove.functions.models import boundaries_by_headings, toc_by_headings
 from textgrove.functions.register import register
 from textgrove.functions.windows import best_window, flat_tree, sentence_range, toc_components
@@ -110,3 +113,16 @@ def test_fuzzy_window_of_leaves(spark, sf):
         assert (r.score, r.last_score) == tuple(round(best_window(content, t)[2], 6) for t in (first, last))
         assert (r.start, r.end) == sentence_range(content, first, last)
     assert inexact > 3 and (rows["altered"].mean() < 0.2)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdefgh ", max_size=60), st.text("abcdefgh ", max_size=40), st.integers(1, 12))
+def test_matcher_is_that_of_the_library(a, b, times):
+    from difflib import SequenceMatcher
+
+    a, b = (a + "q") * times, (b + "xq") * times  # beyond 200 characters frequent ones do not count
+    ours, theirs = windows._Matcher(None), SequenceMatcher(None)
+    for m in (ours, theirs):
+        m.set_seq1(a)
+        m.set_seq2(b)
+    assert ours.get_matching_blocks() == theirs.get_matching_blocks() and ours.ratio() == theirs.ratio()

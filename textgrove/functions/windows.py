@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,33 @@ def _common(at_letter: dict[str, int], n: int, text: str) -> int:
     return n - row.bit_count()
 
 
+class _Matcher(SequenceMatcher):
+    """SequenceMatcher for strings without junk, of equal results: only those places of the first string are visited whose
+    character counts in the second, which in long strings, where frequent characters do not, are few."""
+
+    def set_seq2(self, b: str) -> None:
+        super().set_seq2(b)
+        self.spots = [i for i, c in enumerate(self.a) if c in self.b2j]
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> Match:
+        a, b, places = self.a, self.b, self.b2j
+        ahi, bhi = len(a) if ahi is None else ahi, len(b) if bhi is None else bhi
+        i0, j0, size, before, runs = alo, blo, 0, -2, {}
+        for i in self.spots[bisect_left(self.spots, alo) : bisect_left(self.spots, ahi)]:
+            js = places[a[i]]
+            ended = runs if i == before + 1 else {}
+            runs, before = {}, i
+            for j in js[bisect_left(js, blo) : bisect_left(js, bhi)]:
+                n = runs[j] = ended.get(j - 1, 0) + 1
+                if n > size:
+                    i0, j0, size = i - n + 1, j - n + 1, n
+        while i0 > alo and j0 > blo and a[i0 - 1] == b[j0 - 1]:
+            i0, j0, size = i0 - 1, j0 - 1, size + 1
+        while i0 + size < ahi and j0 + size < bhi and a[i0 + size] == b[j0 + size]:
+            size += 1
+        return Match(i0, j0, size)
+
+
 def best_window(content: str | None, target: str | None) -> tuple[int, int, float]:
     """(start, end, score) of the window of as many words as target has that is most similar to it; the earliest of equals.
 
@@ -59,7 +87,7 @@ def best_window(content: str | None, target: str | None) -> tuple[int, int, floa
         at_ = np.flatnonzero(codes == ord(letter))
         common += np.minimum(np.searchsorted(at_, end) - np.searchsorted(at_, begin), count)
     possible = 2.0 * common / (len(goal) + end - begin)
-    matcher = SequenceMatcher(None)
+    matcher = _Matcher(None)
     matcher.set_seq1(goal)
     at_letter: dict[str, int] = {}
     for i, c in enumerate(goal):
