@@ -45,7 +45,7 @@ P5_FOUND = f"WITH RECURSIVE {_VECTORS.format(floor=0.75)}, reach(v, seen) AS (SE
 def _recall(floor: float) -> str:
     """On tables that one cell holds, the index meets every link."""
     links = f"{_VECTORS.format(floor=2)}, d AS (SELECT DISTINCT v FROM v), q AS (SELECT DISTINCT v FROM v WHERE ('0x' || substr(id, 2, 15))::UBIGINT % 100 = 0), n AS (SELECT q.v, count(*) AS c FROM q JOIN d ON q.v <> d.v AND list_cosine_similarity(q.v, d.v) >= {floor} GROUP BY q.v)"
-    return f"WITH {links} SELECT (SELECT count(*) FROM q)::INT AS queries, sum(least(c, 5))::BIGINT AS expected, sum(least(c, 5))::BIGINT AS met, 1.0::DOUBLE AS recall FROM n"
+    return f"WITH {links} SELECT (SELECT count(*) FROM q)::INT AS queries, coalesce(sum(least(c, 5)), 0)::BIGINT AS expected, coalesce(sum(least(c, 5)), 0)::BIGINT AS met, CASE WHEN count(*) > 0 THEN 1.0::DOUBLE END AS recall FROM n"
 
 
 P3_RECALL, P5_RECALL = _recall(0.8), _recall(0.75)
