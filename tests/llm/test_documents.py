@@ -157,3 +157,14 @@ def test_subjects(spark):
         assert not set(found) - set(truth)
     assert subject_shares(d, lab.limit(0), sub).count() == subject_shares(d.limit(0), lab, sub).count() == subject_shares(d, lab, sub.limit(0)).count() == 0
     assert got.where(F.col("share").isNull()).count() == 0
+
+
+def test_exchange_saves_containers(spark):
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        rows = [(i, rnd.choice([rnd.randrange(1, 400), rnd.randrange(300, 700)])) for i in range(2_000)]
+        df = spark.createDataFrame(rows, "id long, n long")
+        used = [pack(df, "id", "n", 1_000, per_part=100, rounds=r) for r in (0, 4)]
+        before, after = (u.select("container").distinct().count() for u in used)
+        assert -(-sum(n for _, n in rows) // 1_000) <= after < before
+        assert used[1].groupBy("container").agg(F.sum("size").alias("n")).where("n > 1000").isEmpty() and used[1].count() == len(rows)

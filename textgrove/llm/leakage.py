@@ -190,10 +190,10 @@ def _shards(items: DataFrame, least: int, item_id: str, item_text: str, shard_by
     def build(t: pa.Table) -> pa.Table:
         made = Automaton(sorted((i, words(x)) for i, x in zip(t["i"].to_pylist(), t["t"].to_pylist(), strict=True)), least)
         blob = pickle.dumps(made)
-        return pa.table({"size": pa.array([len(blob)], pa.int64()), "automaton": pa.array([blob], pa.binary())})
+        return pa.table({"shard": t["shard"].slice(0, 1), "size": pa.array([len(blob)], pa.int64()), "automaton": pa.array([blob], pa.binary())})
 
     dealt = held.withColumn("shard", F.pmod(F.xxhash64("i"), F.lit(shards)))
-    return cut(dealt.groupBy("shard").applyInArrow(build, "size bigint, automaton binary"), "automata")
+    return cut(dealt.groupBy("shard").applyInArrow(build, "shard bigint, size bigint, automaton binary"), "automata")
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 12, coverage: float | None = None, shortest: int = 6, offsets: bool = True, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shard_bytes: int = 1_000_000, most_sent: int = 64_000_000) -> DataFrame:
@@ -210,18 +210,16 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = 12, covera
     floor = least if coverage is None else min(least, shortest)
     shards = _shards(items, floor, item_id, item_text, shard_bytes)
     loads: list[tuple[int, list[int]]] = []
-    for n, size in enumerate(r[0] for r in shards.select("size").orderBy("size").collect()):  # a number a shard
+    for shard, size in shards.select("shard", "size").orderBy("size", "shard").collect():  # two numbers a shard
         if not loads or loads[-1][0] + size > most_sent:
             loads.append((0, []))
-        loads[-1] = (loads[-1][0] + size, [*loads[-1][1], n])
+        loads[-1] = (loads[-1][0] + size, [*loads[-1][1], shard])
     named = [("doc_id", "bigint"), ("item_id", "bigint"), ("span_start", "bigint"), ("span_end", "bigint"), ("words", "bigint"), ("longest", "bigint"), ("item_words", "bigint"), ("text_hash", "bigint")]
     schema = ", ".join(map(" ".join, named))
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).where(F.length("text") > 2 * floor - 2)
-    ordered = shards.orderBy("size")
-    out, skip = None, 0
+    out = None
     for _, mine in loads:
-        blobs = [bytes(r[0]) for r in ordered.select("automaton").offset(skip).limit(len(mine)).collect()]  # at most most_sent bytes
-        skip += len(mine)
+        blobs = [bytes(r[0]) for r in shards.where(F.col("shard").isin(mine)).select("automaton").collect()]  # at most most_sent bytes
         sent = spark.sparkContext.broadcast(blobs)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
