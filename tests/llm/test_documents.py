@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textgrove.llm.leakage import Automaton, leaked_items, leaked_spans, placed_words, without_leaks, words
 from textgrove.llm.packing import best_fit_decreasing, byte_tokens, lower_bound, pack
-from textgrove.llm.subjects import passages, subject_shares
+from textgrove.llm.subjects import _links, passages, subject_shares
 
 
 @settings(max_examples=100, deadline=None)
@@ -159,6 +159,20 @@ def test_subjects(spark):
     assert got.where(F.col("share").isNull()).count() == 0
 
 
+def test_all_documents_of_a_term_meet(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1_500, 64)) + 0.8
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    x[700] = x[3]
+    df = spark.createDataFrame([(i, [7], v.tobytes()) for i, v in enumerate(x)], "doc_id long, tops array<long>, sketch binary")
+    s = x.astype(np.float32) @ x.astype(np.float32).T
+    np.fill_diagonal(s, -1)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.3}
+    for more in ({}, {"block": 200}):
+        got = _links(df, 5, 0.3, **more).select("doc_id", "other").collect()
+        assert len(got) == len(want) and len({tuple(r) for r in got} & want) >= len(want) - 4  # but for ties in single precision
+
+
 def test_exchange_saves_containers(spark):
     for seed in (1, 2):
         rnd = random.Random(seed)
